@@ -1,0 +1,5 @@
+"""No streaming operators: every job in this engine is a batch job.
+
+The jobs read whole package trees or tables and write whole tables, so there is
+no unbounded input, watermark or state to manage.
+"""
