@@ -115,3 +115,20 @@ def bracketed(tokens: str) -> str:
             (t = '}}' and get(acc.out, element_at(acc.stack, -1)).t <=> '{{')))),
       acc -> named_struct('out', acc.out, 'bad', acc.bad or size(acc.stack) <> 1))
     """
+
+
+def spaced(tokens: str, lo: str, hi: str) -> str:
+    """SQL: text of the tokens lo..hi in the corpus' printed spacing.
+
+    A binary constraint operator has spaces around it, a leading one has none.
+    """
+    return f"""
+    trim(array_join(transform(filter({tokens}, z -> z.i between {lo} and {hi}), z -> case
+        when z.t = ',' then ', '
+        when z.t = ';' then '; '
+        when z.k = 'w' then ' where '
+        when z.t in ('<:', '>:') and (z.i = 0 or get({tokens}, z.i - 1).t in ('{{', '(', ',')) then z.t
+        when z.t in ('<:', '>:', '=', '->', '+', '*', '/', '==', '!=', '<', '>', '<=', '>=', '|', '&', '-', '÷', '%')
+          then concat(' ', z.t, ' ')
+        else z.t end), ''))
+    """

@@ -164,7 +164,7 @@ def _sources() -> list[tuple[str, str]]:
     intervals = f"""
       concat(
         transform(filter(_g, g -> g.kind = 'curly'), g -> named_struct(
-          'nl', -(g.c - g.o - 1), 'prio', 3, 'nk', 0,
+          'nl', -(g.c - g.o + 1), 'prio', 3, 'nk', 0,
           'lab', case when get(_t, g.o - 1).t = 'Tuple' then 'Tuple' when get(_t, g.o - 1).t = 'Union' then 'Union'
                       when exists(_b, b -> b.name = get(_t, g.o - 1).t and {_in_body('b', '(g.o - 1)')}) then 'Var'
                       else 'Invar' end,
@@ -248,8 +248,9 @@ def _sources() -> list[tuple[str, str]]:
     """
     pieces = f"""
       concat(
-        transform(filter(_t, x -> not (x.t in ('(',')') and not exists(_p, g -> g.o = x.i or g.c = x.i))
-                    and not exists(_s, q -> q.op = x.i)),
+        transform(get(transform(array({parens}), kept -> filter(_t, x ->
+                    (x.t not in ('(',')') or exists(kept, g -> g.o = x.i or g.c = x.i))
+                    and not exists(_s, q -> q.op = x.i))), 0),
           x1 -> named_struct('key', {outer_key('x1.i', 'array(x1.i)')}, 'p', x1.i, 's', concat(
             repeat('(', {opens}),
             case
@@ -271,12 +272,16 @@ def _sources() -> list[tuple[str, str]]:
     def render(lo: str, hi: str) -> str:
         return f"array_join(transform(filter(_r, x -> x.p between {lo} and {hi}), x -> x.s), '')"
 
+    def bare(text: str) -> str:
+        # a bound that is a where type is stored without its parentheses
+        return f"regexp_replace({text}, '^\\\\((.* where .*)\\\\)$', '$1')"
+
     tv = f"""
       transform(sort_array(transform(_b, (b, id) -> named_struct(
         'ord', _x[id].ord,
         'name', b.name,
-        'lb', if(b.ls < 0, '{DEFAULT_LB}', {render('b.ls', 'b.le')}),
-        'ub', if(b.us < 0, '{DEFAULT_UB}', {render('b.us', 'b.ue')}),
+        'lb', if(b.ls < 0, '{DEFAULT_LB}', {bare(render('b.ls', 'b.le'))}),
+        'ub', if(b.us < 0, '{DEFAULT_UB}', {bare(render('b.us', 'b.ue'))}),
         'occurrs', if(b.npos < 0,
             array(concat(array_repeat('Where', b.k - 1), array(get(filter(_i, v -> v.o = b.o), 0).lab))),
             transform(
@@ -314,7 +319,7 @@ def _sources() -> list[tuple[str, str]]:
         ("_g", groups), ("_u", untraversed), ("_s0", short0), ("_s", shorts), ("_w0", where0),
         ("_w1", where1), ("_w", wheres), ("_d", decls), ("_do", decl_ops), ("_b", binders),
         ("_c", arith), ("_i", intervals), ("_o0", occ0), ("_o", occ), ("_x0", ctx), ("_x", ctx1),
-        ("_p", parens), ("_r0", pieces), ("_r", "sort_array(_r0)"),
+        ("_r0", pieces), ("_r", "sort_array(_r0)"),
         ("_tv", tv), ("_un", render("0", "size(_t)")), ("_err", error), ("_warn", warning),
     ]
 
@@ -347,9 +352,34 @@ def _summarize_rows(df: DataFrame, text: str) -> DataFrame:
     }).drop(*_TEMP)
 
 
-def summarize(df: DataFrame, text: str = "TypeAnnotation") -> DataFrame:
+def summarize(
+    df: DataFrame, text: str = "TypeAnnotation", dedupe: bool = False, salts: int = 16
+) -> DataFrame:
     """Add UnrolledTypeAnnotation, TypeVarsSummary, Error and Warning.
 
     A text that cannot be read gets nulls and true, true.
+
+    ``dedupe`` summarises each distinct text once and joins the result back.
+    Plain texts (no operator, no variable) are answered in place and never
+    shuffled. A text may repeat without limit, so the rows of one text are
+    spread over ``salts`` keys and the distinct side is replicated to match;
+    Spark turns the join into a broadcast only below its own size threshold.
     """
-    return _summarize_rows(df, text)
+    if not dedupe:
+        return _summarize_rows(df, text)
+    plain = F.coalesce(F.col(text).rlike(lexical.PLAIN_TYPE), F.lit(False))
+    unreadable = F.col(text).isNull()
+    direct = _summarize_rows(df.filter(plain | unreadable), text)
+    hard = df.filter(~plain & ~unreadable)
+    distinct = _summarize_rows(hard.select(F.col(text).alias("_text")).distinct(), "_text")
+    distinct = distinct.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    salted = hard.withColumn(
+        "_salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int")
+    )
+    joined = salted.join(
+        distinct, (salted[text].eqNullSafe(distinct["_text"])) & (salted["_salt"] == distinct["_salt"])
+    ).select(
+        *[salted[c] for c in df.columns],
+        "UnrolledTypeAnnotation", "TypeVarsSummary", "Error", "Warning",
+    )
+    return direct.unionByName(joined)
