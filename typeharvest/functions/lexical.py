@@ -6,7 +6,7 @@ groups only, so matching never recurses however long the text is.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # ---------------------------------------------------------------------------
@@ -132,3 +132,15 @@ def spaced(tokens: str, lo: str, hi: str) -> str:
           then concat(' ', z.t, ' ')
         else z.t end), ''))
     """
+
+
+def sealed(df: DataFrame, keep: list[str], derived: dict[str, Column]) -> DataFrame:
+    """Project ``keep`` and ``derived`` so that later filters stay above them.
+
+    A filter on a column is otherwise rewritten in terms of the projections it
+    was built from; through a long chain of array columns that rewrite grows
+    without bound. A filter on generated columns is not pushed down.
+    """
+    fields = [c.alias(n) for n, c in derived.items()]
+    out = df.select(*keep, F.explode(F.array(F.struct(*fields))).alias("_sealed"))
+    return out.select(*keep, *[F.col("_sealed")[n].alias(n) for n in derived])

@@ -324,7 +324,6 @@ def _sources() -> list[tuple[str, str]]:
     ]
 
 
-_TEMP = ["_plain", "_src", "_a", "_t"] + [name for name, _ in _sources()]
 
 
 def sharp_safe(text: Column) -> Column:
@@ -335,6 +334,7 @@ def sharp_safe(text: Column) -> Column:
 
 
 def _summarize_rows(df: DataFrame, text: str) -> DataFrame:
+    keep = df.columns
     src = sharp_safe(F.col(text))
     df = df.withColumn("_plain", F.coalesce(F.col(text).rlike(lexical.PLAIN_TYPE), F.lit(False)))
     df = df.withColumn("_src", F.when(~F.col("_plain"), lexical.snippet_tokens(src)))
@@ -344,12 +344,12 @@ def _summarize_rows(df: DataFrame, text: str) -> DataFrame:
         df = df.withColumn(name, F.expr(sql))
     plain, ok = F.col("_plain"), F.col("_t").isNotNull() & ~F.col("_err")
     tidy = F.regexp_replace(F.regexp_replace(F.col(text), r"\s+", ""), ",", ", ")
-    return df.withColumns({
+    return lexical.sealed(df, keep, {
         "UnrolledTypeAnnotation": F.when(plain, tidy).when(ok, F.col("_un")),
         "TypeVarsSummary": F.when(plain, F.array().cast(TV_TYPE)).when(ok, F.col("_tv")).cast(TV_TYPE),
         "Error": ~plain & ~F.coalesce(ok, F.lit(False)),
         "Warning": ~plain & F.coalesce(~ok | F.col("_warn"), F.lit(True)),
-    }).drop(*_TEMP)
+    })
 
 
 def summarize(
