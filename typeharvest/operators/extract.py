@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from typeharvest.functions import lexical
@@ -32,7 +32,10 @@ class Extracted:
 
 
 def _shape_heads(heads: DataFrame) -> DataFrame:
-    """Add name, types (one per argument, null where unreadable), rtype, vars."""
+    """Name, signature and return type of heads; the printed type of ``e :: T``.
+
+    ``ok`` marks readable heads; ``printed`` is null for unreadable types.
+    """
     sp = lexical.spaced
     df = heads.withColumn("_tok", lexical.snippet_tokens(F.regexp_replace("snippet", lexical.BLOCK_COMMENT, "")))
     df = df.withColumn("_a", F.expr(lexical.bracketed("_tok")))
@@ -115,7 +118,7 @@ def _shape_heads(heads: DataFrame) -> DataFrame:
         and not exists(_types, y -> y is null)
         and (get(_t, _ac + 1) is null or get(_t, _ac + 1).t in ('::', 'where') or (_wrapped and _ac + 1 = _c0))
         and coalesce(_name <> '', false)""")
-    df = df.withColumn("ok", F.coalesce(ok, F.lit(False)))
+    df = df.withColumn("ok", F.coalesce(ok, F.lit(False)) & (F.col("kind") != "ann"))
     body = F.concat(F.lit("Tuple{"), F.array_join("_types", ", "), F.lit("}"))
     return lexical.sealed(df, [*KEY, "pos", "kind", "start", "stop", "snippet"], {
         "ok": F.col("ok"),
@@ -124,15 +127,7 @@ def _shape_heads(heads: DataFrame) -> DataFrame:
         "Function": F.when(F.col("ok"), F.col("_name")),
         "sig": F.when(F.col("ok"), D.wrap_in_where(body, F.col("_vars"))),
         "rtype": F.when(F.col("ok"), F.expr(f"if(_rs is null, null, {sp('_t', '_rs', '_re')})")),
-    })
-
-
-def _printed(df: DataFrame) -> DataFrame:
-    df = df.withColumn("_tok", lexical.snippet_tokens(F.col("snippet")))
-    df = df.withColumn("_a", F.expr(lexical.bracketed("_tok")))
-    return lexical.sealed(df, [c for c in df.columns if not c.startswith("_")], {
-        "printed": F.expr(lexical.spaced("_a.out", "0", "size(_a.out)")),
-        "ok": ~F.col("_a.bad") & (F.size("_a.out") > 0),
+        "printed": F.expr(f"if(kind = 'ann' and not _a.bad and size(_t) > 0, {sp('_t', '0', 'size(_t)')}, null)"),
     })
 
 
@@ -168,39 +163,36 @@ def extract(files: DataFrame) -> Extracted:
     spread = M.distribute(files)
     found = M.marks(spread, (*M.ANNOTATION_KINDS, *M.DECLARATION_KINDS))
     texts = M.with_text(found.filter("not broken and kind <> 'file'"), spread)
-    heads = _shape_heads(texts.filter(F.col("kind").isin(*HEADS)))
-    plain = _printed(texts.filter("kind = 'ann'"))
+    shaped_heads = _shape_heads(texts.filter(F.col("kind").isin(*HEADS, "ann")))
 
     # a :: inside the head of a method belongs to its signature
-    cover = heads.filter("ok").select(
-        *KEY, "pos", "start", "stop", F.lit(True).alias("head"), F.lit(None).cast("string").alias("printed"),
-        F.lit(True).alias("ok"), F.lit("").alias("snippet"))
-    lines = plain.select(*KEY, "pos", "start", "stop", F.lit(False).alias("head"), "printed", "ok", "snippet")
-    both = cover.unionByName(lines)
-    behind = Window.partitionBy(*KEY).orderBy("start", F.desc("head")).rowsBetween(Window.unboundedPreceding, -1)
-    covered = both.withColumn("reach", F.max(F.when(F.col("head"), F.col("stop"))).over(behind)).filter(
-        ~F.col("head") & ~F.coalesce(F.col("reach") > F.col("start"), F.lit(False)))
-
-    signature = heads.filter("ok").select(
-        *KEY, F.col("start").alias("Pos"), "Function",
+    behind = Window.partitionBy(*KEY).orderBy("start", F.desc("ok")).rowsBetween(Window.unboundedPreceding, -1)
+    reach = F.max(F.when(F.col("ok"), F.col("stop"))).over(behind)
+    rows = shaped_heads.withColumn("own", ~F.coalesce(reach > F.col("start"), F.lit(False)))
+    asserted = (F.col("kind") == "ann") & F.col("own")
+
+    def row(ord_: int, name: Column, kind: str, text: str) -> Column:
+        return F.struct(F.lit(ord_).alias("Ord"), name.alias("Function"), F.lit(kind).alias("Kind"),
+                        F.col(text).alias("TypeAnnotation"))
+
+    annotations = rows.select(
+        *KEY, F.col("start").alias("Pos"),
         F.explode(F.array_compact(F.array(
-            F.struct(F.lit(0).alias("ord"), F.lit("mtsig").alias("Kind"), F.col("sig").alias("TypeAnnotation")),
-            F.when(F.col("rtype").isNotNull(), F.struct(
-                F.lit(1).alias("ord"), F.lit("retty").alias("Kind"), F.col("rtype").alias("TypeAnnotation")))))
-        ).alias("r")).select(*KEY, "Pos", F.col("r.ord").alias("Ord"), "Function", F.col("r.Kind").alias("Kind"),
-                             F.col("r.TypeAnnotation").alias("TypeAnnotation"))
-    asserted = covered.filter("ok").select(
-        *KEY, F.col("start").alias("Pos"), F.lit(0).alias("Ord"), F.lit(NOT_A_SIGNATURE).alias("Function"),
-        F.lit("tyassorann").alias("Kind"), F.col("printed").alias("TypeAnnotation"))
+            F.when(F.col("ok"), row(0, F.col("Function"), "mtsig", "sig")),
+            F.when(F.col("ok") & F.col("rtype").isNotNull(), row(1, F.col("Function"), "retty", "rtype")),
+            F.when(asserted & F.col("printed").isNotNull(),
+                   row(0, F.lit(NOT_A_SIGNATURE), "tyassorann", "printed"))))).alias("r"),
+    ).select(*KEY, "Pos", "r.Ord", "r.Function", "r.Kind", "r.TypeAnnotation")
     shaped = _shape_declarations(texts.filter(F.col("kind").isin(*M.DECLARATION_KINDS)))
 
-    failed_heads = heads.filter("not ok and is_head and kind <> 'short'").select(
-        *KEY, F.col("start").alias("Pos"), "kind", "snippet")
-    errors = failed_heads.unionByName(covered.filter("not ok").select(
-        *KEY, F.col("start").alias("Pos"), F.lit("ann").alias("kind"), "snippet")).unionByName(
-        shaped.filter("not ok").select(*KEY, F.col("start").alias("Pos"), F.lit("decl").alias("kind"), "snippet"))
+    failed = rows.filter(
+        (F.col("kind").isin("fn", "arrow", "do") & ~F.col("ok") & F.col("is_head"))
+        | (asserted & F.col("printed").isNull()))
+    error = [*KEY, F.col("start").alias("Pos")]
+    errors = failed.select(*error, "kind", "snippet").unionByName(
+        shaped.filter("not ok").select(*error, F.lit("decl").alias("kind"), "snippet"))
     return Extracted(
-        annotations=signature.unionByName(asserted),
+        annotations=annotations,
         declarations=shaped.filter("ok").select(*KEY, F.col("start").alias("Pos"), "Name", "Kind",
                                                 "TypeDeclaration", "Supertype"),
         errors=errors,

@@ -179,7 +179,7 @@ def tokens(files: DataFrame) -> DataFrame:
         & ~((F.col("lev") > 0) & _any("bits", "OP"))
     )
     operand = _any("pbits", "ID", "NUM", "STR", "CLOSE")
-    beside = ~F.col("fresh") & operand & F.col("spaced") & _any("bits", "ID", "NUM", "STR", "MACRO")
+    beside = ~F.col("fresh") & operand & ~_any("pbits", "TYPEWORD") & F.col("spaced") & _any("bits", "ID", "NUM", "STR", "MACRO")
     call = ~F.col("spaced") & _any("bits", "PAREN") & _any("pbits", "ID", "CLOSE", "OP")
     cut_colon = F.col("spaced") & _any("bits", "COLON")
     df = df.withColumn("bits", F.col("bits").bitwiseOR(_flag(starts, "STARTS")).bitwiseOR(
@@ -266,8 +266,8 @@ def marks(files: DataFrame, kinds: tuple[str, ...] = ALL_KINDS) -> DataFrame:
     own = F.when(_any("bits", "STARTS"), _pack(F.col("pos"), F.col("off")))
 
     def from_cut(bit: str) -> Column:
-        here = F.when(_any("bits", "STARTS"), _pack(F.col("pos"), F.col("off"))).when(
-            _any("bits", bit), _pack(F.col("pos") + 1, F.col("end")))
+        here = F.when(_any("bits", bit), _pack(F.col("pos") + 1, F.col("end"))).when(
+            _any("bits", "STARTS"), _pack(F.col("pos"), F.col("off")))
         return F.coalesce(own, F.last(here, ignorenulls=True).over(before))
 
     def to_cut(bit: str) -> Column:
