@@ -22,6 +22,17 @@ def local_session(cores: str | int = "*", shuffle_partitions: int = 8) -> SparkS
     )
 
 
+def tune(spark: SparkSession) -> SparkSession:
+    """Runtime settings the token jobs want.
+
+    The JVM does not compile methods above 8000 bytes of bytecode. Wide window
+    stages exceed that as one generated method and would run interpreted, so
+    Spark is told to fall back to per-operator code at the same limit.
+    """
+    spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
+    return spark
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Cut the lineage of ``df`` through the shared checkpoint folder.
 
