@@ -24,58 +24,67 @@ def non_vacuous(sub: Column, sup: Column) -> Column:
     return F.coalesce((sub + sup) > 0, F.lit(False))
 
 
-def snippet_text(df: DataFrame, column: str = "snippet", alias: str = "value") -> DataFrame:
-    """Printed form of a snippet: token spacing instead of source spacing."""
-    df = df.withColumn("_st", lexical.snippet_tokens(F.col(column)))
-    df = df.withColumn("_sb", F.expr(lexical.bracketed("_st")))
-    return df.withColumn(alias, F.expr(lexical.spaced("_sb.out", "0", "size(_sb.out)"))).drop("_st", "_sb")
+def has_constraint(text: str = "text") -> Column:
+    return non_vacuous(lexical.literal_count(text, "<:"), lexical.literal_count(text, ">:"))
 
 
-def lower_bounds(files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(bounds, broken): each lower bound as (Package, File, pos, value), and the
-    files that cannot be read.
+def _gated_bounds(files: DataFrame) -> DataFrame:
+    """Package, File, sub, sup, broken, value of files with a constraint.
 
+    One row per lower bound, and one with a null value for a file without any.
     Only files with a constraint in their text are tokenised: a lower bound
-    needs one, so the gate loses nothing.
+    needs one, so the gate loses nothing. The text is shuffled once; the token
+    windows, the join back to the text and the groupings by file reuse that
+    distribution.
     """
-    gated = files.filter(non_vacuous(lexical.literal_count("text", "<:"), lexical.literal_count("text", ">:")))
-    spread = M.distribute(gated)
-    found = M.marks(spread, ("lb",))
-    bounds = snippet_text(M.with_text(found.filter("kind = 'lb' and not broken"), spread)).select(
-        *KEY, "pos", "value")
-    return bounds, found.filter("kind = 'file' and broken").select(*KEY)
+    spread = M.distribute(files.filter(has_constraint()))
+    found = M.marks(spread, ("lb",)).groupBy(*KEY).agg(
+        F.bool_or("broken").alias("broken"),
+        F.collect_list(F.when(F.col("kind") == "lb", F.struct("pos", "start", "stop"))).alias("spans"))
+    rows = spread.join(found, KEY, "left").select(
+        *KEY, *lexical.pattern_counts("text"), F.coalesce("broken", F.lit(False)).alias("broken"), "text",
+        F.explode_outer("spans").alias("span"))
+    rows = rows.select(*KEY, "sub", "sup", "broken", F.col("span.pos").alias("pos"), M.cut_text("span").alias("_s"))
+    rows = rows.withColumn("_tok", lexical.snippet_tokens(F.col("_s")))
+    rows = rows.withColumn("_b", F.expr(lexical.bracketed("_tok")))
+    return rows.select(*KEY, "sub", "sup", "broken", "pos",
+                       F.expr(lexical.spaced("_b.out", "0", "size(_b.out)")).alias("value"))
+
+
+def lower_bounds(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(bounds, broken): each lower bound as (Package, File, pos, value), and the
+    files that cannot be read."""
+    rows = _gated_bounds(files)
+    return (rows.filter("value is not null and not broken").select(*KEY, "pos", "value"),
+            rows.filter("broken").select(*KEY).distinct())
 
 
 def file_census(files: DataFrame) -> DataFrame:
     """One row per file: counts, status, and the bounds as (value, freq) entries.
 
     status is ok, vacuous (no constraint in the text) or error (cannot be read;
-    a null text is an unreadable file).
+    a null text is an unreadable file). Files without a constraint are answered
+    where they are scanned and never shuffled.
     """
-    gate = non_vacuous(lexical.literal_count("text", "<:"), lexical.literal_count("text", ">:"))
-    spread = M.distribute(files)
-    found = M.marks(spread.filter(gate), ("lb",))
-    bounds = snippet_text(M.with_text(found.filter("kind = 'lb'"), spread.filter(gate))).select(*KEY, "value")
-    per_value = bounds.groupBy(*KEY, "value").agg(F.count("*").alias("freq"))
-    per_file = per_value.groupBy(*KEY).agg(
-        F.sum("freq").alias("lbs"), F.count("*").alias("lbsUnique"),
-        F.sort_array(F.collect_list(F.struct("value", "freq"))).alias("lbsFreq"))
-    broken = found.filter("kind = 'file'").select(*KEY, "broken")
-    base = spread.select(*KEY, *lexical.pattern_counts("text"), F.col("text").isNull().alias("unreadable"))
-    joined = base.join(broken, KEY, "left").join(per_file, KEY, "left")
-    status = (
-        F.when(F.col("unreadable") | F.coalesce("broken", F.lit(False)), "error")
-        .when(non_vacuous(F.col("sub"), F.col("sup")), "ok")
-        .otherwise("vacuous")
-    )
-    df = joined.withColumn("status", status)
-    good = F.col("status") == "ok"
-    return df.select(
-        *KEY, "sub", "sup", "status",
-        F.when(good, F.coalesce("lbs", F.lit(0).cast("bigint"))).alias("lbs"),
-        F.when(good, F.coalesce("lbsUnique", F.lit(0).cast("bigint"))).alias("lbsUnique"),
-        F.when(good, F.coalesce("lbsFreq", F.array().cast("array<struct<value:string,freq:bigint>>"))).alias("lbsFreq"),
-    )
+    none = F.lit(None)
+    per_value = _gated_bounds(files).groupBy(*KEY, "value").agg(
+        F.count("*").alias("freq"), F.first("sub").alias("sub"), F.first("sup").alias("sup"),
+        F.bool_or("broken").alias("broken"))
+    counted = F.when(F.col("value").isNotNull(), F.col("freq"))
+    gated = per_value.groupBy(*KEY).agg(
+        F.first("sub").alias("sub"), F.first("sup").alias("sup"), F.bool_or("broken").alias("broken"),
+        F.coalesce(F.sum(counted), F.lit(0)).alias("lbs"), F.count("value").alias("lbsUnique"),
+        F.sort_array(F.collect_list(F.when(counted.isNotNull(), F.struct("value", "freq")))).alias("lbsFreq"))
+    good = ~F.col("broken")
+    gated = gated.select(
+        *KEY, "sub", "sup", F.when(good, "ok").otherwise("error").alias("status"),
+        *[F.when(good, F.col(c)).alias(c) for c in ("lbs", "lbsUnique", "lbsFreq")])
+    rest = files.filter(~has_constraint()).select(
+        *KEY, *lexical.pattern_counts("text"),
+        F.when(F.col("text").isNull(), "error").otherwise("vacuous").alias("status"),
+        none.cast("bigint").alias("lbs"), none.cast("bigint").alias("lbsUnique"),
+        none.cast("array<struct<value:string,freq:bigint>>").alias("lbsFreq"))
+    return gated.unionByName(rest)
 
 
 # ---------------------------------------------------------------------------

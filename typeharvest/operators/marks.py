@@ -349,11 +349,14 @@ def marks(files: DataFrame, kinds: tuple[str, ...] = ALL_KINDS) -> DataFrame:
                      F.col("hit.stop").alias("stop"), "broken")
 
 
+def cut_text(span: str | None = None) -> Column:
+    """The characters start..stop of ``text``."""
+    start, stop = (F.col(f"{span}.start" if span else "start"), F.col(f"{span}.stop" if span else "stop"))
+    return F.trim(F.substring(F.col("text"), (start + 1).cast("int"),
+                              F.greatest(stop - start, F.lit(0)).cast("int")))
+
+
 def with_text(found: DataFrame, files: DataFrame) -> DataFrame:
     """Attach each mark's own text. Both sides are distributed by file, so the
     join adds no exchange."""
-    return found.join(files, FILE_KEY).withColumn(
-        "snippet",
-        F.trim(F.substring(F.col("text"), (F.col("start") + 1).cast("int"),
-                           F.greatest(F.col("stop") - F.col("start"), F.lit(0)).cast("int"))),
-    ).drop("text")
+    return found.join(files, FILE_KEY).withColumn("snippet", cut_text()).drop("text")

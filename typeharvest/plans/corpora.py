@@ -69,8 +69,8 @@ SUMMARIES: list[tuple[str, str, list[str]]] = [
      ["N|Union{}|Any|Invar.Invar|Where.Where.Tuple.Invar", "T|Union{}|Any|Tuple.Invar.Where.Invar|Where",
       "K|Union{}|Any|Where.Tuple.Invar.Where.Invar.Invar|"]),
     ("U{L{L, S, Q{T}} where {L, S}} where {T, U}", "(U{(L{L, S, Q{T}} where L) where S} where T) where U",
-     ["L|Union{}|Any|;Invar|Where.Where.Var", "S|Union{}|Any|Where.Invar|Where.Where.Var",
-      "T|Union{}|Any|Var.Where.Where.Invar.Invar|Where", "U|Union{}|Any|Where|"]),
+     ["L|Union{}|Any|;Var|Where.Where.Var.Where", "S|Union{}|Any|Where.Var|Where.Where.Var",
+      "T|Union{}|Any|Var.Where.Where.Var.Invar|Where", "U|Union{}|Any|Where|"]),
 ]
 
 # Source files with counts of <: and >:, status and lower bounds
