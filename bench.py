@@ -12,7 +12,7 @@ from typeharvest.session import local_session  # noqa: E402
 
 HEADLINE = [
     "ex1_pattern_counts_documents", "ex1_constraint_counts", "o1_package_ranking", "a4_rollup_file_package_corpus",
-    "p1_p9_predicates", "p1_p9_predicates_row_local", "a6_summary_per_package", "f2_interesting",
+    "p1_p9_predicates", "a6_summary_per_package", "f2_interesting",
     "tv4_tv6_p10_declarations", "ex6_ex12_extract_annotations", "a13_o5_sorted_distinct_lines",
 ]
 
