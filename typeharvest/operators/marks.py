@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from typeharvest.functions import lexical
+from typeharvest.session import shuffle_width
 
 FILE_KEY = ["Package", "File"]
 
@@ -96,8 +97,12 @@ _FAR = 2147483647
 
 
 def distribute(files: DataFrame) -> DataFrame:
-    """The one exchange of the file jobs."""
-    return files.select(*FILE_KEY, "text").repartition(*FILE_KEY)
+    """The one exchange of the file jobs.
+
+    The number of partitions is given, so adaptive execution does not merge
+    them: a partition that is small as text is large once it is tokens.
+    """
+    return files.select(*FILE_KEY, "text").repartition(shuffle_width(files.sparkSession), *FILE_KEY)
 
 
 def _other_bits() -> Column:

@@ -33,6 +33,11 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def shuffle_width(spark: SparkSession) -> int:
+    """Partitions for work that costs far more than its bytes suggest."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Cut the lineage of ``df`` through the shared checkpoint folder.
 
