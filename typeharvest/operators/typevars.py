@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from typeharvest.functions import lexical
+from typeharvest.session import shuffle_width
 
 TV_TYPE = (
     "array<struct<name:string,lb:string,ub:string,"
@@ -371,7 +372,10 @@ def summarize(
     unreadable = F.col(text).isNull()
     direct = _summarize_rows(df.filter(plain | unreadable), text)
     hard = df.filter(~plain & ~unreadable)
-    distinct = _summarize_rows(hard.select(F.col(text).alias("_text")).distinct(), "_text")
+    # copies are dropped map-side first; then the costly rows are spread evenly
+    texts = hard.select(F.col(text).alias("_text")).distinct().repartition(
+        shuffle_width(df.sparkSession), "_text")
+    distinct = _summarize_rows(texts, "_text")
     distinct = distinct.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     salted = hard.withColumn(
         "_salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int")
