@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tokenization
-from .common import scratch, ship, whole_text
+from .common import scratch, ship, whole_text, written
 
 _CACHE = "version string, digest binary, n_tokens long"
 
@@ -59,4 +59,6 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache_dir: str | None = None,
     cache_dir = cache_dir or scratch(docs.sparkSession, "token-cache")
     keyed = digests(docs, id_col, text_col)
     encode_misses(keyed, tokenizer, cache_dir)
-    return keyed.drop("text").join(cached_counts(docs, tokenizer, cache_dir), "digest").select("doc_id", "n_bytes", "n_tokens")
+    # written, so that the join's sides are plain shuffles, which Spark splits where a digest is hot
+    counts = written(cached_counts(docs, tokenizer, cache_dir), "token-counts")
+    return keyed.drop("text").join(counts, "digest").select("doc_id", "n_bytes", "n_tokens")
