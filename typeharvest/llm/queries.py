@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, packing, secrets, token_counts, toxicity
+from . import language, neardup, packing, secrets, token_counts, toxicity
 from .common import id_crc
 
 
@@ -44,8 +44,12 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(_read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op3_toxicity, op4_secret_scans, op5_token_counts, op9_language_id)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op3_toxicity, op4_secret_scans, op5_token_counts, op9_language_id, op10_near_duplicates)}
 
 
 def oracle_sql() -> dict[str, str]:
