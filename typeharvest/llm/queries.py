@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, neardup, packing, secrets, token_counts, toxicity
+from . import decontamination, language, neardup, packing, secrets, token_counts, toxicity
 from .common import id_crc
 
 
@@ -37,6 +37,10 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("over_limit", F.col("n_tokens") > 512)
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.leaks(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, held_out = _read(spark, sf_dir, "documents"), id_crc() % 3 == 1
     pieces = public_tokenizers.path("piece_bpe_32k.model")
@@ -49,7 +53,7 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op3_toxicity, op4_secret_scans, op5_token_counts, op9_language_id, op10_near_duplicates)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op3_toxicity, op4_secret_scans, op5_token_counts, op8_decontamination, op9_language_id, op10_near_duplicates)}
 
 
 def oracle_sql() -> dict[str, str]:
