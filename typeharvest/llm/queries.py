@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, language, neardup, packing, secrets, token_counts, toxicity
+from . import decontamination, language, neardup, packing, secrets, sharding, token_counts, topk, toxicity
 from .common import id_crc
 
 
@@ -37,6 +37,15 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("over_limit", F.col("n_tokens") > 512)
 
 
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.shard(_read(spark, sf_dir, "documents"))
+    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op7_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(_read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.leaks(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
@@ -53,7 +62,7 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op3_toxicity, op4_secret_scans, op5_token_counts, op8_decontamination, op9_language_id, op10_near_duplicates)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op3_toxicity, op4_secret_scans, op5_token_counts, op6_sharding, op7_exact_top_k, op8_decontamination, op9_language_id, op10_near_duplicates)}
 
 
 def oracle_sql() -> dict[str, str]:
