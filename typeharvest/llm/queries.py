@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, language, neardup, packing, secrets, sharding, token_counts, topk, toxicity
+from . import decontamination, language, neardup, packing, secrets, sharding, suffix_dedup, token_counts, topk, toxicity
 from .common import id_crc
 
 
@@ -20,6 +20,10 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")).drop("ids")
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove(_read(spark, sf_dir, "documents")).drop("kept")
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = id_crc() % 4 == 2
     scored = toxicity.toxicity(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"), ~held_out)
@@ -62,7 +66,7 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op3_toxicity, op4_secret_scans, op5_token_counts, op6_sharding, op7_exact_top_k, op8_decontamination, op9_language_id, op10_near_duplicates)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_suffix_dedup, op3_toxicity, op4_secret_scans, op5_token_counts, op6_sharding, op7_exact_top_k, op8_decontamination, op9_language_id, op10_near_duplicates)}
 
 
 def oracle_sql() -> dict[str, str]:
