@@ -147,22 +147,25 @@ def segments(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "t
     return benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(text_col).alias("text")).mapInArrow(run, "item_id long, start long, segment binary")
 
 
+def _blocks(benchmark: DataFrame) -> Iterator[tuple[list, list, list]]:
+    """Item ids, starts and bytes of the benchmark's segments, at most about BLOCK characters at a time."""
+    cut = segments(benchmark)
+    size = cut.agg(F.sum(F.length("segment"))).first()[0] or 0
+    blocks = math.ceil(size / BLOCK)
+    for k in range(blocks):
+        rows = cut.where(F.pmod(F.xxhash64("item_id", "start", "segment"), F.lit(blocks)) == k).collect()
+        if rows:
+            yield [r.item_id for r in rows], [r.start for r in rows], [bytes(r.segment) for r in rows]
+
+
 def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, item_id, item_start, edits, start, end) of each place that holds a segment; places in normalised characters."""
     spark = docs.sparkSession
     ship(spark)
-    cut = segments(benchmark)
-    size = cut.agg(F.sum(F.length("segment"))).first()[0] or 0
-    blocks = math.ceil(size / BLOCK)
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     schema = "doc_id long, item_id long, item_start long, edits int, start long, end long"
-    out = None
-    for k in range(blocks):
-        # a block's share of BLOCK characters, whatever the benchmark's size
-        rows = cut.where(F.pmod(F.xxhash64("item_id", "start", "segment"), F.lit(blocks)) == k).collect()
-        if not rows:
-            continue
-        items, starts, texts = [r.item_id for r in rows], [r.start for r in rows], [bytes(r.segment) for r in rows]
+    out = spark.createDataFrame([], schema)
+    for items, starts, texts in _blocks(benchmark):
 
         def run(batches: Iterator[pa.RecordBatch], items=items, starts=starts, texts=texts) -> Iterator[pa.RecordBatch]:
             index = Index(texts)
@@ -173,9 +176,22 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
                     pa.array([f[2] for f in found], pa.int32()), pa.array([f[3] for f in found], pa.int64()), pa.array([f[4] for f in found], pa.int64())],
                     names=["doc_id", "item_id", "item_start", "edits", "start", "end"])
 
-        part = own.mapInArrow(run, schema)
-        out = part if out is None else out.unionByName(part)
-    return out if out is not None else spark.createDataFrame([], schema)
+        out = out.unionByName(own.mapInArrow(run, schema))
+    return out
+
+
+def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of docs (text, ...) that hold no segment of the benchmark, as they are."""
+    ship(docs.sparkSession)
+    for _, _, texts in _blocks(benchmark):
+
+        def run(batches: Iterator[pa.RecordBatch], texts=texts) -> Iterator[pa.RecordBatch]:
+            index = Index(texts)
+            for b in batches:
+                yield b.filter(pa.array([not index.find(normalised(t.as_py())) for t in b.column("text")], pa.bool_()))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

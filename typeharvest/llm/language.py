@@ -13,11 +13,11 @@ order. Null and repeated ids: each row is predicted. Other columns are ignored.
 
 from __future__ import annotations
 
-import math
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -52,58 +52,92 @@ def words_of(text: str) -> list[str]:
     return [w[i : i + WORD] for w in words for i in range(0, len(w), WORD)]
 
 
-def expected(word: str, probability: dict[str, float], unknown: float, pieces: frozenset[str]) -> tuple[float, dict[str, float]]:
-    """A word's probability in one language and each piece's expected count over its segmentations."""
-    marked = f"▁{word}"
-    n = len(marked)
-    forward, edges = [1.0] + [0.0] * n, []
-    for j in range(1, n + 1):
-        for i in range(max(0, j - PIECE), j):
-            piece = marked[i:j]
-            if piece in pieces or j == i + 1:
-                p = probability.get(piece, unknown)
-                edges.append((i, j, piece, p))
-                forward[j] += forward[i] * p
-    backward = [0.0] * n + [1.0]
-    counts: dict[str, float] = defaultdict(float)
-    total = forward[n] or 1e-300
-    for i, j, piece, p in reversed(edges):
-        backward[i] += p * backward[j]
-        counts[piece] += forward[i] * p * backward[j] / total
-    return forward[n], counts
-
-
-class Scorer(dict):
-    """Log probability of each word in all languages, filled as words come."""
-
-    MOST = 200_000
+class Lattice:
+    """All segmentations of words of one length: by their end, the start and the piece number of each step (-1: no piece)."""
+
+    def __init__(self, words: list[str], number: dict[str, int]) -> None:
+        marked = [f"▁{w}" for w in words]
+        self.n, self.size = len(marked[0]), len(words)
+        self.steps: list[list[tuple[int, np.ndarray]]] = [[] for _ in range(self.n + 1)]
+        for j in range(1, self.n + 1):
+            for i in range(max(0, j - PIECE), j):
+                ids = np.fromiter((number.get(w[i:j], -1) for w in marked), dtype=np.int64, count=self.size)
+                if j == i + 1:
+                    ids[ids < 0] = 0  # number 0: a letter that is no piece
+                self.steps[j].append((i, ids))
+
+    def forward(self, probability: np.ndarray) -> np.ndarray:
+        """Sums over the segmentations of the first letters, by their number, word and language; probability: by piece and language, its last row 0."""
+        sums = np.zeros((self.n + 1, self.size, probability.shape[1]))
+        sums[0] = 1
+        for j in range(1, self.n + 1):
+            for i, ids in self.steps[j]:
+                sums[j] += sums[i] * probability[ids]
+        return sums
+
+    def expected(self, probability: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        """Each piece's expected count over the segmentations in one language; weight: how often each word occurs."""
+        one = probability[:, None]
+        forward = self.forward(one)[:, :, 0]
+        backward = np.zeros_like(forward)
+        backward[self.n] = 1
+        scale = weight / np.maximum(forward[self.n], 1e-300)
+        counts = np.zeros(len(probability))
+        for j in range(self.n, 0, -1):
+            for i, ids in self.steps[j]:
+                p = probability[ids] * backward[j]
+                backward[i] += p
+                counts += np.bincount(ids % len(probability), weights=forward[i] * p * scale, minlength=len(probability))
+        return counts
+
+
+def _by_length(words: list[str], most: int = 20_000) -> Iterator[list[int]]:
+    """Places of words of equal length, in parts."""
+    groups: dict[int, list[int]] = defaultdict(list)
+    for k, w in enumerate(words):
+        groups[len(w)].append(k)
+    for own in groups.values():
+        for at in range(0, len(own), most):
+            yield own[at : at + most]
+
+
+def numbered(pieces: frozenset[str]) -> dict[str, int]:
+    """A number from 1 for each piece."""
+    return {p: i for i, p in enumerate(sorted(pieces), 1)}
+
+
+class Scorer:
+    """Log probability of words in all languages; words are scored once while they are remembered."""
+
+    MOST = 300_000
 
     def __init__(self, model: dict[str, dict[str, float]], pieces: frozenset[str]) -> None:
-        super().__init__()
         self.languages = sorted(model)
-        self.unknown = tuple(model[k][""] for k in self.languages)
-        self.table = {p: tuple(model[k].get(p, model[k][""]) for k in self.languages) for p in set().union(*model.values()) if p}
-        self.pieces = pieces
-
-    def __missing__(self, word: str) -> tuple[float, ...]:
-        marked = f"▁{word}"
-        table, pieces, unknown = self.table, self.pieces, self.unknown
-        sums: list[list[float]] = [[1.0] * len(unknown)]
-        for j in range(1, len(marked) + 1):
-            total = [0.0] * len(unknown)
-            for i in range(max(0, j - PIECE), j):
-                piece = marked[i:j]
-                ps = table.get(piece)
-                if ps is None:
-                    if j != i + 1 and piece not in pieces:
-                        continue
-                    ps = unknown
-                total = [t + a * p for t, a, p in zip(total, sums[i], ps)]
-            sums.append(total)
-        if len(self) > self.MOST:
-            self.clear()
-        found = self[word] = tuple(math.log(max(x, 1e-300)) for x in sums[-1])
-        return found
+        self.number = numbered(pieces)
+        self.probability = np.zeros((len(self.number) + 2, len(model)))
+        for k, lang in enumerate(self.languages):
+            own = model[lang]
+            self.probability[:-1, k] = own[""]
+            for p, x in own.items():
+                if p in self.number:
+                    self.probability[self.number[p], k] = x
+        self.place: dict[str, int] = {}
+        self.logs = np.empty((0, len(model)))
+
+    def totals(self, texts: list[list[str]]) -> list[np.ndarray]:
+        """The sum over each text's words."""
+        if len(self.place) > self.MOST:
+            self.place, self.logs = {}, self.logs[:0]
+        new = list(set().union(*texts).difference(self.place))
+        if new:
+            logs = np.empty((len(new), len(self.languages)))
+            for own in _by_length(new):
+                sums = Lattice([new[k] for k in own], self.number).forward(self.probability)[-1]
+                logs[own] = np.log(np.maximum(sums, 1e-300))
+            self.place.update(zip(new, range(len(self.logs), len(self.logs) + len(new))))
+            self.logs = np.concatenate([self.logs, logs])
+        get = self.place.__getitem__
+        return [self.logs[np.fromiter(map(get, words), dtype=np.int64, count=len(words))].sum(axis=0) for words in texts]
 
 
 def sample_rows(docs: DataFrame, usable: Column, most: int) -> DataFrame:
@@ -131,16 +165,27 @@ def fit(docs: DataFrame, usable: Column, vocabulary_path: str, sample: int = SAM
     model: dict[str, dict[str, float]] = {}
 
     def expect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = vocabulary(vocabulary_path)
-        even = {"": 1e-4}
-        sums: dict[str, Counter] = defaultdict(Counter)
+        number = numbered(vocabulary(vocabulary_path))
+        names = [""] + list(number)
+        sums: dict[str, np.ndarray] = {}
         for b in batches:
-            for lang, word, n in zip(*(b.column(c).to_pylist() for c in ("lang", "word", "n"))):
-                own, mine = model.get(lang, even), sums[lang]
-                for piece, x in expected(word, own, own[""], pieces)[1].items():
-                    mine[piece] += n * x
+            langs, words, n = np.array(b.column("lang").to_pylist(), dtype=object), b.column("word").to_pylist(), b.column("n").to_numpy()
+            for lang in set(langs):
+                own = np.flatnonzero(langs == lang)
+                probability = np.full(len(names) + 1, 1e-4)
+                if lang in model:
+                    probability[:] = model[lang][""]
+                    for p, x in model[lang].items():
+                        if p:
+                            probability[number[p]] = x
+                probability[-1] = 0
+                mine = sums.setdefault(lang, np.zeros(len(names) + 1))
+                chosen = [words[k] for k in own]
+                for part in _by_length(chosen):
+                    mine += Lattice([chosen[k] for k in part], number).expected(probability, n[own[part]])
         for lang, mine in sums.items():
-            yield pa.record_batch([pa.array([lang] * len(mine), pa.string()), pa.array(list(mine), pa.string()), pa.array(mine.values(), pa.float64())], names=["lang", "piece", "x"])
+            found = np.flatnonzero(mine[:-1] > 0)
+            yield pa.record_batch([pa.array([lang] * len(found), pa.string()), pa.array([names[k] for k in found], pa.string()), pa.array(mine[found], pa.float64())], names=["lang", "piece", "x"])
 
     for _ in range(rounds):
         rows = counted.mapInArrow(expect, "lang string, piece string, x double").groupBy("lang", "piece").agg(F.sum("x").alias("x"))
@@ -151,7 +196,8 @@ def fit(docs: DataFrame, usable: Column, vocabulary_path: str, sample: int = SAM
         model = {}
         for lang, own in by.items():
             total = sum(own.values()) + 1
-            model[lang] = {p: x / total for p, x in own.items()} | {"": 0.1 / total}
+            # pieces not seen, and letters that are none, have a small share each
+            model[lang] = {p: x / total for p, x in own.items() if p} | {"": 0.1 / total}
     return model
 
 
@@ -162,19 +208,16 @@ def predict(docs: DataFrame, model: dict[str, dict[str, float]], vocabulary_path
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model, vocabulary(vocabulary_path)) if model else None
         for b in batches:
-            langs, scores = [], []
-            for t in b.column("text"):
-                words = words_of(t.as_py() or "")
-                if not words or scorer is None:
-                    langs.append(UNKNOWN)
-                    scores.append(0.0)
-                    continue
-                sums = list(map(math.fsum, zip(*map(scorer.__getitem__, words))))
-                top = max(sums)
-                best = sums.index(top)
-                langs.append(scorer.languages[best])
-                scores.append(1 / sum(math.exp(max(-700.0, x - top)) for x in sums))
-            yield pa.record_batch([b.column("doc_id"), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "lang_pred", "score"])
+            for at in range(0, b.num_rows, 1000):
+                part = b.slice(at, 1000)
+                langs, scores = [UNKNOWN] * part.num_rows, [0.0] * part.num_rows
+                texts = [words_of(t.as_py() or "") for t in part.column("text")]
+                for k, sums in enumerate(scorer.totals(texts)) if scorer else ():
+                    if texts[k]:
+                        best = int(sums.argmax())
+                        langs[k] = scorer.languages[best]
+                        scores[k] = float(1 / np.exp(np.maximum(-700.0, sums - sums[best])).sum())
+                yield pa.record_batch([part.column("doc_id"), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "lang_pred", "score"])
 
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return own.mapInArrow(run, "doc_id long, lang_pred string, score double")

@@ -23,6 +23,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from .common import RollingHash, mix, n_partitions, ship, whole_text, written
 
@@ -305,3 +306,14 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = 85, tree
         own = sketched.join(written(whole, "classes"), F.col("set_key") == F.col("k"), "left")
     component = F.coalesce("component", "doc_id")
     return own.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+
+
+def one_of_each(docs: DataFrame, words: int = WORDS, percent: int = 85, trees: int = TREES) -> DataFrame:
+    """One row of docs (doc_id, text, ...) for each group of near-duplicates, as it is; rows with a null id stay."""
+    keep = near_duplicates(docs, words, percent, trees).where("kept AND doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("_kept")).agg(F.count("*").alias("_rows"))
+    keep = written(keep, "kept").hint("shuffle_hash")
+    known = docs.where(F.col("doc_id").isNotNull())
+    if keep.where("_rows > 1").limit(1).count():  # rows of one id are one document: the first by its text's hash stays
+        rank = F.row_number().over(W.partitionBy("doc_id").orderBy(F.xxhash64("text")))
+        known = known.withColumn("_rank", rank).where("_rank = 1").drop("_rank")
+    return known.join(keep, F.col("doc_id") == F.col("_kept"), "left_semi").unionByName(docs.where(F.col("doc_id").isNull()))

@@ -224,6 +224,14 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 30)
     return w.tolist()
 
 
+def chance(text: str, lexer: Lexer, model: list[float]) -> float:
+    """The model's probability that a text is toxic."""
+    if not model:
+        return 0.0
+    z = model[0] + sum(map(float.__mul__, model[1:], events(text, lexer)))
+    return 1 / (1 + math.exp(-max(-700.0, min(700.0, z))))
+
+
 def score(docs: DataFrame, weights: dict[str, float], model: list[float], keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns `keep` of each row of docs, and its score (0 to 1) as `score`; `keep` may not hold that name."""
     ship(docs.sparkSession)
@@ -233,17 +241,25 @@ def score(docs: DataFrame, weights: dict[str, float], model: list[float], keep:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexer = Lexer(weights)
         for b in batches:
-            scores = []
-            for t in b.column("_text"):
-                x = events(t.as_py(), lexer) if model else []
-                z = model[0] + sum(map(float.__mul__, model[1:], x)) if model else 0.0
-                scores.append(1 / (1 + math.exp(-max(-700.0, min(700.0, z)))) if model else 0.0)
+            scores = [chance(t.as_py(), lexer, model) for t in b.column("_text")]
             yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), pa.array(scores, pa.float64())], names=[*names, "score"])
 
     out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + ", score double"
     return docs.select(*keep, whole_text().alias("_text")).mapInArrow(run, out)
 
 
+def clean(docs: DataFrame, labels: DataFrame, usable: Column, threshold: float = THRESHOLD, sample: int = SAMPLE) -> DataFrame:
+    """The rows of docs (doc_id, text, ...) whose score is below the threshold, as they are."""
+    weights, model = fit(docs, labels, usable, sample)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lexer = Lexer(weights)
+        for b in batches:
+            yield b.filter(pa.array([chance(t.as_py() or "", lexer, model) < threshold for t in b.column("text")], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def toxicity(docs: DataFrame, labels: DataFrame, usable: Column, sample: int = SAMPLE) -> DataFrame:
     """(doc_id, score) of each row, by a model fitted on the usable rows of labels."""
     weights, model = fit(docs, labels, usable, sample)
