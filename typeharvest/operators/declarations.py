@@ -45,7 +45,7 @@ def split_declaration(decls: DataFrame, text: str = "TypeDeclaration") -> DataFr
              end) end"""))
     df = df.withColumn("_name", F.expr(f"""
         case when _dg is not null then {spaced("_dt.out", "0", "element_at(_dt.out, -1).mate - 1")}
-             when size(_dt.out) = 1 and _dt.out[0].k = 'n' then _dt.out[0].t
+             when size(_dt.out) = 1 and get(_dt.out, 0).k = 'n' then get(_dt.out, 0).t
              else '<NA-typename>' end"""))
     return df.drop("_dt", "_dtok", "_dg")
 

@@ -67,7 +67,7 @@ def _shape_heads(heads: DataFrame) -> DataFrame:
     df = df.withColumn("_seg", F.expr("""
         case when _bare and _ao < 0 and size(_t) = 0 then cast(array() as array<struct<s:int,e:int>>)
              else filter(transform(sequence(1, size(_cuts) - 1), j -> struct(
-                _cuts[j - 1] + 1 as s, _cuts[j] - 1 as e)), a -> a.s <= a.e) end"""))
+                get(_cuts, j - 1) + 1 as s, get(_cuts, j) - 1 as e)), a -> a.s <= a.e) end"""))
     df = df.withColumn("_seg2", F.expr("""
         transform(_seg, a -> struct(a.s as s, coalesce(get(transform(filter(_t,
             y -> y.t = '=' and y.par = _ao and y.i between a.s and a.e), y -> y.i), 0) - 1, a.e) as e))"""))

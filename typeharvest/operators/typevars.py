@@ -134,16 +134,16 @@ def _sources() -> list[tuple[str, str]]:
         transform(_do, x -> case
           when size(x.ops) = 0 then cast(struct(get(_t, x.d.ds).t, x.d.ds, -1, -2, -1, -2, x.d.bs, x.d.be, 0, 0,
                array(), -1, 0, x.d.ds = x.d.de and get(_t, x.d.ds).k = 'n') as {_BINDER})
-          when size(x.ops) = 1 and x.ops[0].t = '<:' then cast(struct(get(_t, x.ops[0].i - 1).t, x.ops[0].i - 1,
-               -1, -2, x.ops[0].i + 1, x.d.de, x.d.bs, x.d.be, 0, 0, array(), -1, 0,
-               x.ops[0].i = x.d.ds + 1 and get(_t, x.d.ds).k = 'n' and x.d.de > x.ops[0].i) as {_BINDER})
-          when size(x.ops) = 1 then cast(struct(get(_t, x.ops[0].i - 1).t, x.ops[0].i - 1,
-               x.ops[0].i + 1, x.d.de, -1, -2, x.d.bs, x.d.be, 0, 0, array(), -1, 0,
-               x.ops[0].i = x.d.ds + 1 and get(_t, x.d.ds).k = 'n' and x.d.de > x.ops[0].i) as {_BINDER})
-          else cast(struct(get(_t, x.ops[0].i + 1).t, x.ops[0].i + 1, x.d.ds, x.ops[0].i - 1,
-               x.ops[1].i + 1, x.d.de, x.d.bs, x.d.be, 0, 0, array(), -1, 0,
-               size(x.ops) = 2 and x.ops[0].t = '<:' and x.ops[1].t = '<:' and x.ops[1].i = x.ops[0].i + 2
-               and get(_t, x.ops[0].i + 1).k = 'n' and x.ops[0].i > x.d.ds and x.d.de > x.ops[1].i) as {_BINDER})
+          when size(x.ops) = 1 and get(x.ops, 0).t = '<:' then cast(struct(get(_t, get(x.ops, 0).i - 1).t, get(x.ops, 0).i - 1,
+               -1, -2, get(x.ops, 0).i + 1, x.d.de, x.d.bs, x.d.be, 0, 0, array(), -1, 0,
+               get(x.ops, 0).i = x.d.ds + 1 and get(_t, x.d.ds).k = 'n' and x.d.de > get(x.ops, 0).i) as {_BINDER})
+          when size(x.ops) = 1 then cast(struct(get(_t, get(x.ops, 0).i - 1).t, get(x.ops, 0).i - 1,
+               get(x.ops, 0).i + 1, x.d.de, -1, -2, x.d.bs, x.d.be, 0, 0, array(), -1, 0,
+               get(x.ops, 0).i = x.d.ds + 1 and get(_t, x.d.ds).k = 'n' and x.d.de > get(x.ops, 0).i) as {_BINDER})
+          else cast(struct(get(_t, get(x.ops, 0).i + 1).t, get(x.ops, 0).i + 1, x.d.ds, get(x.ops, 0).i - 1,
+               get(x.ops, 1).i + 1, x.d.de, x.d.bs, x.d.be, 0, 0, array(), -1, 0,
+               size(x.ops) = 2 and get(x.ops, 0).t = '<:' and get(x.ops, 1).t = '<:' and get(x.ops, 1).i = get(x.ops, 0).i + 2
+               and get(_t, get(x.ops, 0).i + 1).k = 'n' and get(x.ops, 0).i > x.d.ds and x.d.de > get(x.ops, 1).i) as {_BINDER})
           end),
         transform(_s, x -> cast(struct(concat('#', x.op), -1,
                if(x.t = '>:', x.op + 1, -1), if(x.t = '>:', x.ae, -2),
@@ -213,13 +213,14 @@ def _sources() -> list[tuple[str, str]]:
     """
     occ = f"""
       transform(_o0, x -> named_struct(
-        'b', filter(x.path, v -> v.b >= 0 and _b[v.b].name = x.t)[
-               size(filter(x.path, v -> v.b >= 0 and _b[v.b].name = x.t)) - 1].b,
+        'b', get(filter(x.path, v -> v.b >= 0 and get(_b, v.b).name = x.t),
+               size(filter(x.path, v -> v.b >= 0 and get(_b, v.b).name = x.t)) - 1).b,
         'ord', {order('x.path', 'x.p')}, 'path', x.path))
     """
     # the path down to each binder: of its body, up to the binder itself
     ctx = f"transform(_b, (b, id) -> named_struct('id', id, 'path', {path('b.bs')}, 'bs', b.bs))"
-    own = "cast(array_position(transform(x.path, v -> v.b), x.id) as int) - 1"
+    # a binder of an unreadable text may lie outside its own path; the row is an error then
+    own = "greatest(coalesce(cast(array_position(transform(x.path, v -> v.b), x.id) as int), 0) - 1, 0)"
     ctx1 = f"""
       transform(_x0, x -> named_struct(
         'ord', concat(slice({order('x.path', 'x.bs')}, 1, {own}), array(3)),
@@ -279,18 +280,18 @@ def _sources() -> list[tuple[str, str]]:
 
     tv = f"""
       transform(sort_array(transform(_b, (b, id) -> named_struct(
-        'ord', _x[id].ord,
+        'ord', get(_x, id).ord,
         'name', b.name,
         'lb', if(b.ls < 0, '{DEFAULT_LB}', {bare(render('b.ls', 'b.le'))}),
         'ub', if(b.us < 0, '{DEFAULT_UB}', {bare(render('b.us', 'b.ue'))}),
         'occurrs', if(b.npos < 0,
-            array(concat(array_repeat('Where', b.k - 1), array(get(filter(_i, v -> v.o = b.o), 0).lab))),
+            array(concat(array_repeat('Where', greatest(b.k - 1, 0)), array(get(filter(_i, v -> v.o = b.o), 0).lab))),
             transform(
               sort_array(transform(filter(_o, x -> x.b = id), x -> named_struct('ord', x.ord,
                  'st', slice(transform(x.path, v -> v.lab),
                              cast(array_position(transform(x.path, v -> v.b), id) + 1 as int), size(x.path))))),
               x -> x.st)),
-        'context', _x[id].lab))),
+        'context', get(_x, id).lab))),
       x -> named_struct('name', x.name, 'lb', x.lb, 'ub', x.ub, 'occurrs', x.occurrs, 'context', x.context))
     """
 
