@@ -2,13 +2,14 @@
 
 Documents are sets of word shingles. Equal sets are one item, whatever their number. In each of TREES independent trees an
 item goes down the branches of selected minwise tokens: a node's items share the tokens on its path. Nodes of one item are
-dropped. Small nodes are compared exhaustively; larger ones first meet a pivot, then branch on one or two more minwise
-tokens, so that a similar pair is expected to stay together in more than one child. Links are confirmed on the full sets
-and joined to components, and a node whose items are all in one component needs no further work: a group of near copies
-is settled by its pivots, never by its pairs. A node that stays large down to DEPTH is compared in blocks. So the only
+dropped. Larger nodes branch on one or two more minwise tokens, so that a similar pair is expected to stay together in
+more than one child; small ones are compared exhaustively. The first FIRST trees go before: their small nodes give the
+links that join parts of them, their large nodes compare each item with two pivots. Links are confirmed on the full sets
+and joined to components, and a node whose items are all in one component needs no further work: so a group of near
+copies is settled by its pivots, not by its pairs. A node that stays large down to DEPTH is compared in blocks. The only
 pairs that can be missed are those that separate in every tree: less than one in ten thousand at the least similarity.
 
-Each pass is a few joins over written tables; neither items nor links reach the driver.
+Each level is a few joins over written tables; neither items nor links reach the driver.
 
 Null or empty text: no shingles, linked with nothing. Null ids: component null, kept. Rows of one id count as one document
 (linked with all that any of them is linked with). An empty table: no rows. Other columns are ignored.
@@ -17,17 +18,20 @@ Null or empty text: no shingles, linked with nothing. Null ids: component null,
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from .common import RollingHash, mix, n_partitions, ship, whole_text, written
 
-WORDS, TREES, DEPTH = 5, 16, 12
+WORDS, TREES, DEPTH = 5, 16, 10
+#: Depth below which nodes have one branch only.
+WIDE = 5
 #: Trees of the first batch; what it links need not be compared in the others.
 FIRST = 3
 #: Minwise tokens of an item, most items of a small node, share of nodes with two branches.
@@ -100,7 +104,7 @@ def _branch(members: DataFrame, depth: int) -> DataFrame:
             path = b.column("path").to_numpy().view(np.uint64)
             tokens = np.frombuffer(b"".join(b.column("tokens").to_pylist()), dtype=np.uint32).reshape(b.num_rows, TOKENS)
             rows = np.arange(b.num_rows)
-            for child in (0, 1):
+            for child in (0, 1)[: 2 if depth < WIDE else 1]:
                 at = mix(path + np.uint64(depth * 2 + child + 1))
                 own = rows if child == 0 else rows[(at >> np.uint64(40)) < np.uint64(int(TWO * 2**24))]
                 if len(own):
@@ -189,19 +193,19 @@ def _confirm(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Da
 def components(links: DataFrame) -> DataFrame:
     """(id, component) of all ids in links (a, b): stars of larger and of smaller neighbours in turn, until nothing changes."""
 
-    def state(df: DataFrame) -> tuple:
-        return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+    def stored(df: DataFrame) -> tuple[DataFrame, tuple]:
+        seen = Observation()
+        found = written(df.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")), "stars")
+        return found, (seen.get["n"], seen.get["h"])
 
-    now = written(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "stars")
-    before = state(now)
+    now, before = stored(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     while before[0]:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = written(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "stars")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.withColumnRenamed("m", "v")).distinct()
-        now = written(small, "stars")
-        after = state(now)
+        now, after = stored(small)
         if after == before:
             break
         before = after
@@ -216,19 +220,18 @@ class _Join:
         self.least = percent / 100 - SLACK
         self.links = spark.createDataFrame([], "a long, b long")
         self.parts = spark.createDataFrame([], "id long, component long")
-        self.tested = spark.createDataFrame([], "a long, b long")
 
     def open_nodes(self, nodes: DataFrame) -> DataFrame:
         """(path, id, component, size) of nodes with items of more than one component."""
-        own = nodes.distinct().join(self.parts, "id", "left").select("path", "id", F.coalesce("component", "id").alias("component"))
+        own = nodes.join(self.parts, "id", "left").select("path", "id", F.coalesce("component", "id").alias("component"))
         sizes = own.groupBy("path").agg(F.count("*").alias("size"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select(F.col("path").alias("p"), "size")
         return own.join(sizes, F.col("path") == F.col("p")).drop("p")
 
     def settle(self, pairs: DataFrame, texts: DataFrame) -> None:
-        pairs = written(pairs.distinct().join(self.tested, ["a", "b"], "left_anti"), "pairs")
-        self.tested = self.tested.unionByName(pairs)
+        """Confirms pairs and joins what is linked."""
+        pairs = written(pairs.distinct(), "pairs")
         self.links = self.links.unionByName(written(_confirm(pairs, texts, self.words, self.percent), "links"))
-        self.parts = components(self.links)
+        self.parts = written(components(self.links), "components")
 
     def with_tokens(self, members: DataFrame) -> DataFrame:
         return members.join(self.items.select("id", "tokens"), "id")
@@ -263,23 +266,27 @@ class _Join:
         members = met.select(key.alias("path"), F.when(F.col("block") != F.col("other"), F.col("block")).alias("side"), "id", "component", "tokens")
         return _compare(members.repartition(n_partitions(self.spark), "path").sortWithinPartitions("path", "id"), self.least, False)
 
-    def run(self, trees: range) -> None:
-        nodes = written(self.open_nodes(_first_paths(self.items, trees)), "nodes")
-        involved = nodes.select("id").distinct().hint("shuffle_hash")
+    def run(self, trees: int) -> None:
+        first, others = (self.written_nodes(_first_paths(self.items, t)) for t in (range(min(FIRST, trees)), range(min(FIRST, trees), trees)))
+        involved = first.select("id").unionByName(others.select("id")).distinct().hint("shuffle_hash")
         texts = written(self.docs.join(involved, F.col("doc_id") == F.col("id"), "left_semi").select(F.col("doc_id").alias("id"), "text").distinct(), "texts")
-        depth = 1
-        while nodes.limit(1).count():
-            few, many = nodes.where(F.col("size") <= SMALL), nodes.where(F.col("size") > SMALL)
-            self.settle(self.small(few, True).unionByName(self.pivots(many)), texts)
-            left = written(self.open_nodes(nodes.select("path", "id")), "nodes")
-            few, many = left.where(F.col("size") <= SMALL), left.where(F.col("size") > SMALL)
-            pairs = self.small(few, False)
-            if depth >= DEPTH:
-                self.settle(pairs.unionByName(self.blocks(many)), texts)
+        # what small nodes and pivots of the first trees link need not be compared again
+        few, many = first.where(F.col("size") <= SMALL), first.where(F.col("size") > SMALL)
+        self.settle(self.small(few, True).unionByName(self.pivots(many)), texts)
+        leaves, depth = [], 1
+        nodes = self.written_nodes(first.select("path", "id").unionByName(others.select("path", "id")))
+        while True:
+            leaves.append(nodes.where(F.col("size") <= SMALL))
+            nodes = nodes.where(F.col("size") > SMALL)
+            if depth == DEPTH or not nodes.limit(1).count():
                 break
-            self.settle(pairs, texts)
-            nodes = written(self.open_nodes(_branch(self.with_tokens(many).select("path", "id", "tokens"), depth)), "nodes")
+            nodes = self.written_nodes(_branch(self.with_tokens(nodes).select("path", "id", "tokens"), depth))
             depth += 1
+        pairs = self.small(reduce(DataFrame.unionByName, leaves), False)
+        self.settle(pairs.unionByName(self.blocks(nodes)) if depth == DEPTH else pairs, texts)
+
+    def written_nodes(self, nodes: DataFrame) -> DataFrame:
+        return written(self.open_nodes(nodes), "nodes")
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = 85, trees: int = TREES) -> DataFrame:
@@ -291,9 +298,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = 85, tree
     real = sketched.where("n_shingles > 0 AND doc_id IS NOT NULL")
     items = written(real.groupBy("set_key").agg(F.min("doc_id").alias("id"), F.any_value("tokens").alias("tokens")), "items")
     join = _Join(spark, rows, items, words, percent)
-    for batch in (range(min(FIRST, trees)), range(min(FIRST, trees), trees)):
-        if len(batch):
-            join.run(batch)
+    join.run(trees)
     # an id may stand for several sets, and ids of equal sets are linked with the set's first
     twice = sketched.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").limit(1).count()
     parts = join.parts
