@@ -37,7 +37,7 @@ def _shape_heads(heads: DataFrame) -> DataFrame:
     ``ok`` marks readable heads; ``printed`` is null for unreadable types.
     """
     sp = lexical.spaced
-    df = heads.withColumn("_tok", lexical.snippet_tokens(F.regexp_replace("snippet", lexical.BLOCK_COMMENT, "")))
+    df = heads.withColumn("_tok", lexical.snippet_tokens(F.col("snippet")))
     df = df.withColumn("_a", F.expr(lexical.bracketed("_tok")))
     df = df.withColumn("_t", F.col("_a.out"))
     # close[i]: the closer of an opener
@@ -160,7 +160,7 @@ def extract(files: DataFrame) -> Extracted:
     Rows carry Pos, the character offset of their head, so that writers can
     keep source order. A file that cannot be read gives no rows.
     """
-    spread = M.distribute(files)
+    spread = M.distribute(files.select(*KEY, "text"))
     found = M.marks(spread, (*M.ANNOTATION_KINDS, *M.DECLARATION_KINDS))
     texts = M.with_text(found.filter("not broken and kind <> 'file'"), spread)
     shaped_heads = _shape_heads(texts.filter(F.col("kind").isin(*HEADS, "ann")))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from typeharvest.functions import lexical
+from typeharvest.functions import lexical, scanner
 from typeharvest.operators import marks as M
 
 KEY = M.FILE_KEY
@@ -29,25 +29,26 @@ def has_constraint(text: str = "text") -> Column:
 
 
 def _gated_bounds(files: DataFrame) -> DataFrame:
-    """Package, File, sub, sup, broken, value of files with a constraint.
+    """Package, File, sub, sup, status, value of all files.
 
     One row per lower bound, and one with a null value for a file without any.
-    Only files with a constraint in their text are tokenised: a lower bound
-    needs one, so the gate loses nothing. The text is shuffled once; the token
-    windows, the join back to the text and the groupings by file reuse that
-    distribution.
+    Files are scanned once; only those with a constraint take their text along,
+    for a lower bound needs one. The token windows, the join back to the text
+    and the groupings by file reuse the one exchange.
     """
-    spread = M.distribute(files.filter(has_constraint()))
-    found = M.marks(spread, ("lb",)).groupBy(*KEY).agg(
+    gate = has_constraint()
+    spread = M.distribute(files.select(
+        *KEY, *lexical.pattern_counts("text"), F.col("text").isNull().alias("missing"), F.when(gate, F.col("text")).alias("text")))
+    found = M.marks(spread.select(*KEY, "text").filter("text is not null"), ("lb",)).groupBy(*KEY).agg(
         F.bool_or("broken").alias("broken"),
-        F.collect_list(F.when(F.col("kind") == "lb", F.struct("pos", "start", "stop"))).alias("spans"))
-    rows = spread.join(found, KEY, "left").select(
-        *KEY, *lexical.pattern_counts("text"), F.coalesce("broken", F.lit(False)).alias("broken"), "text",
-        F.explode_outer("spans").alias("span"))
-    rows = rows.select(*KEY, "sub", "sup", "broken", F.col("span.pos").alias("pos"), M.cut_text("span").alias("_s"))
-    rows = rows.withColumn("_tok", lexical.snippet_tokens(F.col("_s")))
+        F.collect_list(F.when(F.col("kind") == "lb", F.struct("pos", "kind", "start", "stop"))).alias("spans"))
+    rows = spread.join(found, KEY, "left")
+    status = (F.when(F.col("missing"), "error").when(F.col("text").isNull(), "vacuous")
+              .when(F.col("broken"), "error").otherwise("ok"))
+    rows = scanner.cut(rows.select(*KEY, "sub", "sup", status.alias("status"), "text", "spans"))
+    rows = rows.withColumn("_tok", lexical.snippet_tokens(F.col("snippet")))
     rows = rows.withColumn("_b", F.expr(lexical.bracketed("_tok")))
-    return rows.select(*KEY, "sub", "sup", "broken", "pos",
+    return rows.select(*KEY, "sub", "sup", "status", "pos",
                        F.expr(lexical.spaced("_b.out", "0", "size(_b.out)")).alias("value"))
 
 
@@ -55,36 +56,25 @@ def lower_bounds(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(bounds, broken): each lower bound as (Package, File, pos, value), and the
     files that cannot be read."""
     rows = _gated_bounds(files)
-    return (rows.filter("value is not null and not broken").select(*KEY, "pos", "value"),
-            rows.filter("broken").select(*KEY).distinct())
+    return (rows.filter("value is not null and status = 'ok'").select(*KEY, "pos", "value"),
+            rows.filter("status = 'error'").select(*KEY).distinct())
 
 
 def file_census(files: DataFrame) -> DataFrame:
     """One row per file: counts, status, and the bounds as (value, freq) entries.
 
     status is ok, vacuous (no constraint in the text) or error (cannot be read;
-    a null text is an unreadable file). Files without a constraint are answered
-    where they are scanned and never shuffled.
+    a null text is an unreadable file).
     """
-    none = F.lit(None)
     per_value = _gated_bounds(files).groupBy(*KEY, "value").agg(
-        F.count("*").alias("freq"), F.first("sub").alias("sub"), F.first("sup").alias("sup"),
-        F.bool_or("broken").alias("broken"))
+        F.count("*").alias("freq"), F.first("sub").alias("sub"), F.first("sup").alias("sup"), F.first("status").alias("status"))
     counted = F.when(F.col("value").isNotNull(), F.col("freq"))
     gated = per_value.groupBy(*KEY).agg(
-        F.first("sub").alias("sub"), F.first("sup").alias("sup"), F.bool_or("broken").alias("broken"),
+        F.first("sub").alias("sub"), F.first("sup").alias("sup"), F.first("status").alias("status"),
         F.coalesce(F.sum(counted), F.lit(0)).alias("lbs"), F.count("value").alias("lbsUnique"),
         F.sort_array(F.collect_list(F.when(counted.isNotNull(), F.struct("value", "freq")))).alias("lbsFreq"))
-    good = ~F.col("broken")
-    gated = gated.select(
-        *KEY, "sub", "sup", F.when(good, "ok").otherwise("error").alias("status"),
-        *[F.when(good, F.col(c)).alias(c) for c in ("lbs", "lbsUnique", "lbsFreq")])
-    rest = files.filter(~has_constraint()).select(
-        *KEY, *lexical.pattern_counts("text"),
-        F.when(F.col("text").isNull(), "error").otherwise("vacuous").alias("status"),
-        none.cast("bigint").alias("lbs"), none.cast("bigint").alias("lbsUnique"),
-        none.cast("array<struct<value:string,freq:bigint>>").alias("lbsFreq"))
-    return gated.unionByName(rest)
+    return gated.select(
+        *KEY, "sub", "sup", "status", *[F.when(F.col("status") == "ok", F.col(c)).alias(c) for c in ("lbs", "lbsUnique", "lbsFreq")])
 
 
 # ---------------------------------------------------------------------------
@@ -103,24 +93,20 @@ def frequencies(bounds: DataFrame, keys: list[str] | None = None, value: str = "
 def roll_up(freqs: DataFrame, package: str = "Package", file: str = "File", value: str = "value") -> DataFrame:
     """lbs and lbsUnique for every file, package and the corpus.
 
-    Uniques are recounted per level. The rollup runs over the (value, freq)
-    multiset of a level, so a hot package is summed before it is counted.
+    Uniques are recounted per level. Each (value, freq) counts in its three
+    levels at once, so ``freqs`` is computed once; values are summed before the
+    levels are counted, and partial sums are taken map-side.
     """
-    by_file = multiset_sum(freqs, [package, file], value)
-    by_package = multiset_sum(by_file, [package], value)
-    corpus = multiset_sum(by_package, [], value)
-
-    def count(df: DataFrame, level: str, keys: list[str]) -> DataFrame:
-        stats = df.groupBy(*keys).agg(
-            F.coalesce(F.sum("freq"), F.lit(0)).cast("bigint").alias("lbs"), F.count("*").alias("lbsUnique"))
-        return stats.select(
-            F.lit(level).alias("level"),
-            (F.col(package) if package in keys else F.lit(None).cast("string")).alias(package),
-            (F.col(file) if file in keys else F.lit(None).cast("string")).alias(file),
-            "lbs", "lbsUnique")
-
-    return count(by_file, "file", [package, file]).unionByName(
-        count(by_package, "package", [package])).unionByName(count(corpus, "corpus", []))
+    none = F.lit(None).cast("string")
+    at = F.array(*[F.struct(F.lit(level).alias("level"), p.alias(package), f.alias(file)) for level, p, f in (
+        ("file", F.col(package), F.col(file)), ("package", F.col(package), none), ("corpus", none, none))])
+    rows = freqs.select(F.explode(at).alias("at"), F.col(value).alias("value"), F.col("freq").cast("bigint").alias("freq"))
+    # the corpus has a row even without a bound
+    empty = freqs.sparkSession.sql(
+        f"SELECT named_struct('level', 'corpus', '{package}', string(null), '{file}', string(null)) AS at, string(null) AS value, 0L AS freq")
+    sums = rows.unionByName(empty).groupBy("at", "value").agg(F.sum("freq").alias("freq"), F.max(F.col("freq") > 0).alias("real"))
+    stats = sums.groupBy("at").agg(F.sum("freq").cast("bigint").alias("lbs"), F.count_if("real").alias("lbsUnique"))
+    return stats.select("at.*", "lbs", "lbsUnique")
 
 
 def rollup_counters(files: DataFrame, counters: dict[str, Column], package: str = "Package",
@@ -152,7 +138,8 @@ def exploded(census: DataFrame) -> DataFrame:
 
 
 def package_census(packages: DataFrame, census: DataFrame) -> DataFrame:
-    """Every listed package: whether it has sources, its counters and bounds.
+    """Every package that is listed or has files: whether it has sources, its
+    counters and bounds.
 
     A package without source files is *bad* and contributes zeros.
     """
@@ -160,8 +147,9 @@ def package_census(packages: DataFrame, census: DataFrame) -> DataFrame:
     freqs = multiset_sum(exploded(census), ["Package"])
     stats = freqs.groupBy("Package").agg(F.sum("freq").alias("lbs"), F.count("*").alias("lbsUnique"))
     zero = F.lit(0).cast("bigint")
-    joined = packages.join(counters, "Package", "left").join(stats, "Package", "left")
-    has_src = F.col("hasSrc") if "hasSrc" in packages.columns else F.col("totalFilesNum").isNotNull()
+    joined = packages.join(counters, "Package", "full").join(stats, "Package", "left")
+    with_files = F.col("totalFilesNum").isNotNull()
+    has_src = F.coalesce("hasSrc", with_files) if "hasSrc" in packages.columns else with_files
     return joined.select(
         "Package", has_src.alias("hasSrc"),
         *[F.coalesce(c, zero).alias(c) for c in

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from typeharvest.functions import lexical
+from typeharvest.functions import lexical, scanner
 from typeharvest.session import shuffle_width
 
 FILE_KEY = ["Package", "File"]
@@ -97,12 +97,12 @@ _FAR = 2147483647
 
 
 def distribute(files: DataFrame) -> DataFrame:
-    """The one exchange of the file jobs.
+    """The one exchange of the file jobs: the code of each file, by file.
 
     The number of partitions is given, so adaptive execution does not merge
     them: a partition that is small as text is large once it is tokens.
     """
-    return files.select(*FILE_KEY, "text").repartition(shuffle_width(files.sparkSession), *FILE_KEY)
+    return scanner.code_only(files).repartition(shuffle_width(files.sparkSession), *FILE_KEY)
 
 
 def _other_bits() -> Column:
@@ -354,14 +354,8 @@ def marks(files: DataFrame, kinds: tuple[str, ...] = ALL_KINDS) -> DataFrame:
                      F.col("hit.stop").alias("stop"), "broken")
 
 
-def cut_text(span: str | None = None) -> Column:
-    """The characters start..stop of ``text``."""
-    start, stop = (F.col(f"{span}.start" if span else "start"), F.col(f"{span}.stop" if span else "stop"))
-    return F.trim(F.substring(F.col("text"), (start + 1).cast("int"),
-                              F.greatest(stop - start, F.lit(0)).cast("int")))
-
-
 def with_text(found: DataFrame, files: DataFrame) -> DataFrame:
     """Attach each mark's own text. Both sides are distributed by file, so the
-    join adds no exchange."""
-    return found.join(files, FILE_KEY).withColumn("snippet", cut_text()).drop("text")
+    join adds no exchange, and a file's marks are cut from it in one go."""
+    spans = found.groupBy(*FILE_KEY).agg(F.collect_list(F.struct("pos", "kind", "start", "stop")).alias("spans"))
+    return scanner.cut(files.select(*FILE_KEY, "text").join(spans, FILE_KEY))
