@@ -24,16 +24,16 @@ def test_folders_end_to_end(spark, tmp_path):
     _write(root, "B.jl/src/b.jl", "broken(x::Int = 1\n")
     _write(root, "C.jl/README.md", "no code")
     _write(root, "top.jl", "z::Int = 1")
+    os.makedirs(os.path.join(root, "D.jl"))
     log = jobs.extract_job(spark, root, dest)
     assert {(r.Package, r.File): r.status for r in log.collect()} == {
-        ("A.jl", "src/a.jl"): "succ", ("A.jl", "test/t.jl"): "succ", ("B.jl", "src/b.jl"): "fail"}
-    listing = spark.createDataFrame([("A.jl", "src/a.jl"), ("A.jl", "src/e.jl")], "Package string, File string")
-    counted = readers.with_listing(readers.code_files(spark, root, src_only=True), listing)
+        ("A.jl", "src/a.jl"): "succ", ("A.jl", "test/t.jl"): "succ", ("A.jl", "src/e.jl"): "succ", ("B.jl", "src/b.jl"): "fail"}
+    counted = readers.code_files(spark, root, src_only=True)
     assert {r.File: r.text == "" for r in counted.collect()} == {
         "src/a.jl": False, "src/e.jl": True, "src/b.jl": False}
     csv = readers.stored_table(spark, f"{dest}/type-annotations", readers.schemas.TYPE_ANNOTATIONS, "*.csv")
     stored = spark.read.parquet(f"{dest}/annotations")
-    cols = ["File", "Function", "Kind", "TypeAnnotation"]
+    cols = ["Package", "File", "Function", "Kind", "TypeAnnotation"]
     want = sorted(tuple(r) for r in stored.select(*cols).collect())
     assert sorted(tuple(r) for r in csv.select(*cols).collect()) == want and len(want) == 4
     decls = spark.read.parquet(f"{dest}/declarations")
@@ -49,7 +49,29 @@ def test_folders_end_to_end(spark, tmp_path):
     report = [r.line for r in jobs.census_job(spark, root, dest).collect()]
     assert report == ["Interesting packages: 0\nLower bounds: 0\nUnique lower bounds: 0"]
     dirs = {r.Package: r.hasSrc for r in readers.package_dirs(spark, root).collect()}
-    assert dirs == {"A.jl": True, "B.jl": True, "C.jl": False}
+    assert dirs == {"A.jl": True, "B.jl": True, "C.jl": False, "D.jl": False}
+
+
+def test_census_job_counts_empty_files(spark, tmp_path):
+    root = str(tmp_path / "a dir+/a/pkgs")  # a name that needs encoding, and that occurs twice
+    _write(root, "P.jl/src/one.jl", "f(x::Vector{>:Int}) = 1 # >: Bool\ng(x::Ref{>:Int}, s=\"$(T >: Q)\") = 2\n")
+    _write(root, "P.jl/src/two.jl", "#= #= =# h(x::Ref{>:Int}) =#\nk(x::Ref{T}) where T >: Bool = 1\n")
+    _write(root, "P.jl/src/three.jl", "")
+    report = [r.line for r in jobs.census_job(spark, root, str(tmp_path / "out")).collect()]
+    assert report[0].endswith("Non vacuous files: 2/3") and report[-1].startswith("Interesting") is False
+    census = {r.File: r for r in spark.read.parquet(str(tmp_path / "out/census")).collect()}
+    assert {f: (r.status, r.lbs) for f, r in census.items()} == {"src/one.jl": ("ok", 3), "src/two.jl": ("ok", 1), "src/three.jl": ("vacuous", None)}
+
+
+def test_paths_below_roots(spark):
+    cases = [
+        ("s3a://bkt/pkgs", "s3a://bkt/pkgs/A.jl/src/a.jl"), ("hdfs://nn:8020/pkgs/", "hdfs://nn:8020/pkgs/A.jl/src/a.jl"),
+        ("file:/data/a", "file:///data/a/A.jl/src/a.jl"), ("file:///data/a", "file:/data/a/A.jl/src/a.jl"), ("file:/a/x/a", "file:/a/x/a/A.jl/src/a.jl"),
+    ]
+    for root, path in cases:
+        row = spark.createDataFrame([(path,)], "p string").select(readers._under(root, F.col("p")).alias("r")).first()
+        assert row.r == "A.jl/src/a.jl", root
+    assert readers.qualified(spark, "rel/dir").startswith("file:/") and readers.qualified(spark, "rel/dir").endswith("/rel/dir")
 
 
 def test_logs_and_lists(spark, tmp_path):

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from typeharvest.functions import lexical
+from typeharvest.functions import lexical, scanner
 from typeharvest.operators import declarations as D
 from typeharvest.operators import marks as M
 
@@ -154,15 +154,33 @@ def _shape_declarations(decls: DataFrame) -> DataFrame:
     })
 
 
+def marked(files: DataFrame) -> DataFrame:
+    """All heads, types and declarations of files (Package, File, text), each
+    with its text; a file without any has one row without a kind.
+
+    The files are tokenised here and nowhere else: a job writes these rows and
+    derives its tables from them.
+    """
+    spread = M.distribute(files.select(*KEY, "text"))
+    found = M.marks(spread, (*M.ANNOTATION_KINDS, *M.DECLARATION_KINDS)).groupBy(*KEY).agg(
+        F.bool_or("broken").alias("broken"),
+        F.collect_list(F.when(~F.col("broken") & (F.col("kind") != "file"), F.struct("pos", "kind", "start", "stop"))).alias("spans"))
+    failed = F.col("text").isNull() | F.coalesce("broken", F.lit(False))
+    return scanner.cut(spread.join(found, KEY, "left").select(*KEY, failed.alias("failed"), "text", "spans"))
+
+
 def extract(files: DataFrame) -> Extracted:
-    """Files (Package, File, text) to annotations, declarations and logs.
+    """Files (Package, File, text) to annotations, declarations and logs."""
+    return tables(marked(files))
+
+
+def tables(found: DataFrame) -> Extracted:
+    """The tables of ``marked`` rows.
 
     Rows carry Pos, the character offset of their head, so that writers can
     keep source order. A file that cannot be read gives no rows.
     """
-    spread = M.distribute(files.select(*KEY, "text"))
-    found = M.marks(spread, (*M.ANNOTATION_KINDS, *M.DECLARATION_KINDS))
-    texts = M.with_text(found.filter("not broken and kind <> 'file'"), spread)
+    texts = found.filter("kind is not null")
     shaped_heads = _shape_heads(texts.filter(F.col("kind").isin(*HEADS, "ann")))
 
     # a :: inside the head of a method belongs to its signature
@@ -196,15 +214,13 @@ def extract(files: DataFrame) -> Extracted:
         declarations=shaped.filter("ok").select(*KEY, F.col("start").alias("Pos"), "Name", "Kind",
                                                 "TypeDeclaration", "Supertype"),
         errors=errors,
-        file_log=file_log(spread, found),
+        file_log=file_log(found),
     )
 
 
-def file_log(files: DataFrame, found: DataFrame) -> DataFrame:
+def file_log(found: DataFrame) -> DataFrame:
     """(Package, File, status): succ or fail; a file without tokens succeeds."""
-    broken = found.filter("kind = 'file'").select(*KEY, "broken")
-    status = F.when(F.col("text").isNull() | F.coalesce("broken", F.lit(False)), "fail").otherwise("succ")
-    return files.join(broken, KEY, "left").select(*KEY, status.alias("status"))
+    return found.groupBy(*KEY).agg(F.when(F.bool_or("failed"), "fail").otherwise("succ").alias("status"))
 
 
 def log_by_package(log: DataFrame) -> DataFrame:

@@ -352,10 +352,3 @@ def marks(files: DataFrame, kinds: tuple[str, ...] = ALL_KINDS) -> DataFrame:
                                         F.lit(0).cast("bigint").alias("stop")))))))
     return df.select(*FILE_KEY, "pos", F.col("hit.kind").alias("kind"), F.col("hit.start").alias("start"),
                      F.col("hit.stop").alias("stop"), "broken")
-
-
-def with_text(found: DataFrame, files: DataFrame) -> DataFrame:
-    """Attach each mark's own text. Both sides are distributed by file, so the
-    join adds no exchange, and a file's marks are cut from it in one go."""
-    spans = found.groupBy(*FILE_KEY).agg(F.collect_list(F.struct("pos", "kind", "start", "stop")).alias("spans"))
-    return scanner.cut(files.select(*FILE_KEY, "text").join(spans, FILE_KEY))

@@ -15,7 +15,8 @@ from typeharvest.sources import readers, writers
 def extract_job(spark: SparkSession, packages: str, dest: str) -> DataFrame:
     """Package folders to annotation and declaration tables; returns the file log."""
     tune(spark)
-    out = extract.extract(readers.code_files(spark, packages))
+    extract.marked(readers.code_files(spark, packages)).write.mode("overwrite").parquet(f"{dest}/marks")
+    out = extract.tables(spark.read.parquet(f"{dest}/marks"))
     writers.source_ordered(out.annotations).write.mode("overwrite").parquet(f"{dest}/annotations")
     writers.source_ordered(out.declarations).write.mode("overwrite").parquet(f"{dest}/declarations")
     out.errors.write.mode("overwrite").parquet(f"{dest}/extract_errors")

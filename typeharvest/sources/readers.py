@@ -10,52 +10,67 @@ from typeharvest.sources import schemas
 SUFFIX = ".jl"
 
 
+def qualified(spark: SparkSession, root: str) -> str:
+    """The root as Spark writes it in the paths of its files."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+
+
 def _under(root: str, path: Column) -> Column:
-    """Path below ``root``; the scheme of the file system is dropped."""
-    bare = F.regexp_replace(path, r"^[a-zA-Z0-9+.-]+:(//[^/]*)?", "")
-    base = root.split("://", 1)[-1].rstrip("/") + "/"
-    return F.substring(bare, F.instr(bare, base) + F.lit(len(base)), F.length(bare))
+    """Path below the qualified ``root``; a path elsewhere ends the job."""
+    base = root.rstrip("/") + "/"
+    if base.startswith("file:"):  # written with one slash or three
+        base = "file:/" + base[len("file:"):].lstrip("/")
+        path = F.regexp_replace(path, "^file:/+", "file:/")
+    below = F.substring(path, F.lit(len(base) + 1), F.length(path))
+    return F.when(F.startswith(path, F.lit(base)), below).otherwise(
+        F.raise_error(F.concat(F.lit(f"not below {base}: "), path)).cast("string"))
+
+
+def _decoded(path: Column) -> Column:
+    """A percent-encoded path as it was; a plus sign is itself."""
+    return F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
 
 
 def code_files(spark: SparkSession, root: str, src_only: bool = False) -> DataFrame:
     """(Package, File, text) of every source file below ``root``/<package>/.
 
-    ``src_only`` keeps files under the package's ``src`` folder. A file that
-    cannot be read is left out rather than ending the job, and so is an empty
-    one (see ``with_listing``).
+    ``src_only`` keeps files under the package's ``src`` folder. Every listed
+    file is a row: an empty one, which Spark's scan skips, has an empty text,
+    and one that cannot be read a null text.
     """
-    raw = (
+    reader = (
         spark.read.format("binaryFile").option("pathGlobFilter", f"*{SUFFIX}")
         .option("recursiveFileLookup", "true").option("ignoreCorruptFiles", "true").load(root)
     )
-    rel = _under(root, F.col("path"))
-    df = raw.select(rel.alias("rel"), F.col("content").cast("string").alias("text"))
-    df = df.filter(F.col("rel").contains("/")).select(
+    below = qualified(spark, root)
+    raw = reader.select(_under(below, F.col("path")).alias("rel"), F.col("content").cast("string").alias("text"))
+    # the file index holds the names of all files on the driver anyway
+    listed = spark.createDataFrame([(p,) for p in reader.inputFiles()], "path string").select(
+        _under(below, _decoded(F.col("path"))).alias("rel"))
+    missing = listed.join(raw.select("rel"), "rel", "left_anti")
+    fs = spark._jvm.org.apache.hadoop.fs.Path(root).getFileSystem(spark._jsc.hadoopConfiguration())
+    path_of = lambda rel: spark._jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/{rel}")
+    # the exceptions only: files that the scan gave no row for
+    lengths = [(r.rel, fs.getFileStatus(path_of(r.rel)).getLen()) for r in missing.collect()]
+    rest = spark.createDataFrame([(rel, "" if n == 0 else None) for rel, n in lengths], "rel string, text string")
+    df = raw.unionByName(rest).filter(F.col("rel").contains("/")).select(
         F.substring_index("rel", "/", 1).alias("Package"),
         F.expr("substring(rel, instr(rel, '/') + 1)").alias("File"), "text")
     return df.filter(F.col("File").startswith("src/")) if src_only else df
 
 
-def with_listing(files: DataFrame, listing: DataFrame) -> DataFrame:
-    """Add the listed (Package, File) pairs that ``files`` lacks, as empty text.
-
-    Spark's file index skips zero-length files; a listing puts them back where
-    the number of files matters.
-    """
-    return files.join(listing, ["Package", "File"], "full").withColumn("text", F.coalesce("text", F.lit("")))
-
-
 def package_dirs(spark: SparkSession, root: str) -> DataFrame:
-    """(Package, hasSrc): packages that hold a file, and whether under src/.
-
-    Folders are known by their files; an empty folder is not a row. Lists of
-    packages (``package_list``) name those too.
-    """
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path")
-    rel = _under(root, F.col("path"))
-    return raw.select(rel.alias("rel")).filter(F.col("rel").contains("/")).groupBy(
-        F.substring_index("rel", "/", 1).alias("Package")
-    ).agg(F.bool_or(F.expr("substring(rel, instr(rel, '/') + 1)").startswith("src/")).alias("hasSrc"))
+    """(Package, hasSrc): the folders below ``root``, and whether they have files under src/."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
+    folders = spark.createDataFrame([(s.getPath().getName(),) for s in found if s.isDirectory()], "Package string")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).inputFiles()
+    rel = spark.createDataFrame([(p,) for p in files], "path string").select(
+        _under(qualified(spark, root), _decoded(F.col("path"))).alias("rel"))
+    with_src = rel.filter(F.expr("get(split(rel, '/'), 1) = 'src' and size(split(rel, '/')) > 2")).select(
+        F.substring_index("rel", "/", 1).alias("Package")).distinct().withColumn("hasSrc", F.lit(True))
+    return folders.join(with_src, "Package", "left").select("Package", F.coalesce("hasSrc", F.lit(False)).alias("hasSrc"))
 
 
 def stored_table(spark: SparkSession, root: str, schema, file_name: str) -> DataFrame:
@@ -65,10 +80,13 @@ def stored_table(spark: SparkSession, root: str, schema, file_name: str) -> Data
         .option("multiLine", "true").option("recursiveFileLookup", "true")
         .option("pathGlobFilter", file_name).csv(root)
     )
-    rel = _under(root, F.col("_metadata.file_path"))
+    rel = _under(qualified(spark, root), _decoded(F.col("_metadata.file_path")))
+    folder = F.substring_index(rel, "/", 1)
+    # folders of the own writer carry the column's name and escape some characters
+    package = F.when(folder.startswith("Package="), _decoded(F.substring(folder, len("Package=") + 1, 1 << 20))).otherwise(folder)
     # the printer that writes these files also escapes the dollar sign
     fixed = [F.replace(F.col(f.name), F.lit("\\$"), F.lit("$")).alias(f.name) for f in schema.fields]
-    return rows.select(F.substring_index(rel, "/", 1).alias("Package"), *fixed)
+    return rows.select(package.alias("Package"), *fixed)
 
 
 def type_annotations(spark: SparkSession, root: str, file_name: str = "type-annotations.csv") -> DataFrame:
@@ -87,11 +105,15 @@ def bad_packages(packages: DataFrame, table: DataFrame) -> DataFrame:
 def package_list(spark: SparkSession, path: str, first: int | None = None) -> DataFrame:
     """name, uuid, version and the line number, in list order; or the first N.
 
-    A package list is a small file read by one task, so the running id of its
-    rows is the line order.
+    A list is a small file; several are taken in the order of their names.
     """
-    df = spark.read.schema(schemas.PACKAGE_LIST).csv(path).withColumn("line", F.monotonically_increasing_id())
-    return df if first is None else df.orderBy("line").limit(first)
+    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("list"), "value")
+    lines = whole.select("list", F.posexplode(F.split(F.regexp_replace("value", "\r?\n$", ""), "\r?\n")).alias("line", "text"))
+    fields = F.from_csv("text", ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schemas.PACKAGE_LIST.fields))
+    df = lines.filter("text <> ''").select("list", F.col("line").cast("bigint").alias("line"), fields.alias("f"))
+    if first is not None:
+        df = df.orderBy("list", "line").limit(first)
+    return df.select("f.*", "line")
 
 
 def log_lines(spark: SparkSession, path: str) -> DataFrame:

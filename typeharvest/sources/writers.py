@@ -3,32 +3,39 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from typeharvest.sources import schemas
 
+#: most files of one package's table
+FILES_OF_PACKAGE = 16
 ORDER = ["Package", "File", "Pos", "Ord"]
 
 
-def _csv(df: DataFrame, path: str, quote_all: bool = True, partition: bool = True) -> None:
+def _csv(df: DataFrame, path: str, columns: list[str] | None = None, quote_all: bool = True, partition: bool = True) -> None:
+    if partition:  # a package is a few files, whatever the number of tasks
+        spread = F.pmod(F.xxhash64("File"), F.lit(FILES_OF_PACKAGE)) if "File" in df.columns else F.lit(0)
+        df = source_ordered(df.repartition("Package", spread))
+    if columns:
+        df = df.select("Package", *columns)
     writer = df.write.mode("overwrite").option("header", "true").option("quote", '"').option("escape", "\\")
     writer = writer.option("quoteAll", str(quote_all).lower()).option("emptyValue", "").option("nullValue", "")
     (writer.partitionBy("Package") if partition else writer).csv(path)
 
 
 def source_ordered(df: DataFrame) -> DataFrame:
-    """Rows of a file stay together and in source order. The rows arrive
-    distributed by file, so this sorts in place; a large package is written by
-    many tasks instead of one."""
+    """Rows of a file stay together and in source order; a large package is
+    written by several tasks instead of one."""
     return df.sortWithinPartitions(*[c for c in ORDER if c in df.columns])
 
 
 def write_annotations(annotations: DataFrame, path: str) -> None:
     """<path>/Package=<name>/*.csv, every field quoted, without Pos and Ord."""
-    _csv(source_ordered(annotations).select("Package", *schemas.TYPE_ANNOTATIONS.names), path)
+    _csv(annotations, path, schemas.TYPE_ANNOTATIONS.names)
 
 
 def write_declarations(declarations: DataFrame, path: str) -> None:
-    _csv(source_ordered(declarations).select("Package", *schemas.TYPE_DECLARATIONS.names), path)
+    _csv(declarations, path, schemas.TYPE_DECLARATIONS.names)
 
 
 def write_analyzed(analyzed: DataFrame, path: str) -> None:
