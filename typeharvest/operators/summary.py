@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from typeharvest.functions.predicates import DEFAULT_REGISTRY, PredicateRegistry
 
@@ -139,10 +138,3 @@ def as_display(summary: DataFrame, boolean: list[str]) -> DataFrame:
         return F.when(F.col("variable").isin(*boolean), flag).otherwise(F.col(name).cast("bigint").cast("string"))
 
     return summary.withColumns({"min": shown("min"), "max": shown("max"), "sum": F.col("sum").cast("bigint")})
-
-
-SUMMARY_SCHEMA = T.StructType([
-    T.StructField("variable", T.StringType()), T.StructField("mean", T.DoubleType()),
-    T.StructField("min", T.StringType()), T.StructField("median", T.DoubleType()),
-    T.StructField("max", T.StringType()), T.StructField("nmissing", T.LongType()),
-    T.StructField("sum", T.LongType())])

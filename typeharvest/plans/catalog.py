@@ -159,11 +159,11 @@ def _catalog() -> dict[str, tuple[Query, str | None]]:
     q["src6_package_census"] = (
         lambda s, d: lowerbounds.package_census(C.packages(s, d), _census(s, d)),
         f"""{code}, c AS ({counters}), n AS (SELECT Package, count(*) AS lbs, count(DISTINCT value) AS u FROM lbs GROUP BY 1)
-        SELECT p.Package AS Package, c.Package IS NOT NULL AS hasSrc, coalesce(totalFilesNum, 0) AS totalFilesNum,
+        SELECT coalesce(p.Package, c.Package) AS Package, c.Package IS NOT NULL AS hasSrc, coalesce(totalFilesNum, 0) AS totalFilesNum,
           coalesce(failedFilesNum, 0) AS failedFilesNum, coalesce(nonVacFilesNum, 0) AS nonVacFilesNum,
           coalesce(lbs, 0) AS lbs, coalesce(u, 0) AS lbsUnique
-        FROM (SELECT 'Pkg' || s_suppkey AS Package FROM supplier) p LEFT JOIN c ON p.Package = c.Package
-        LEFT JOIN n ON p.Package = n.Package""")
+        FROM (SELECT 'Pkg' || s_suppkey AS Package FROM supplier) p FULL JOIN c ON p.Package = c.Package
+        LEFT JOIN n ON coalesce(p.Package, c.Package) = n.Package""")
     q["f12_good_bad_packages"] = (
         lambda s, d: (lambda gb: gb[0].select("Package", F.lit("good").alias("verdict")).unionByName(
             gb[1].select("Package", F.lit("bad").alias("verdict"))))(lowerbounds.split_good_bad(
@@ -180,8 +180,7 @@ def _catalog() -> dict[str, tuple[Query, str | None]]:
         lambda s, d: lowerbounds.rank_packages(lowerbounds.package_census(
             C.packages(s, d), _census(s, d))).select("Package", "lbs", "lbsUnique", "interest"),
         f"""{code} SELECT Package, count(*) AS lbs, count(DISTINCT value) AS lbsUnique,
-        count(DISTINCT value) * 100 + count(*) AS interest FROM lbs
-        WHERE Package IN (SELECT 'Pkg' || s_suppkey FROM supplier) GROUP BY Package""")
+        count(DISTINCT value) * 100 + count(*) AS interest FROM lbs GROUP BY Package""")
     q["o2_value_frequencies"] = (
         lambda s, d: lowerbounds.rank_values(lowerbounds.multiset_sum(lowerbounds.exploded(_census(s, d)), [])),
         f"{code} SELECT value, count(*) AS freq FROM lbs GROUP BY value")

@@ -50,6 +50,11 @@ ANNOTATIONS: list[tuple[str, tuple[int, ...] | None]] = [
     ("Tuple{$~A, Ref{T}} where T", (1, 1, 1, 1, 1, 1, 0, 1, 1)),
     ("Ref{~A", None),
     ("Ref{T<:~A}", None),
+    ("where", None),
+    ("where T", None),
+    ("A{where}", None),
+    ("A{where T}", None),
+    ("(where T)", None),
 ]
 
 # Shapes with their unrolled text and variables in order, each as
@@ -75,46 +80,54 @@ SUMMARIES: list[tuple[str, str, list[str]]] = [
 
 # Source files with counts of <: and >:, status and lower bounds
 CODE: list[tuple[str, int, int, str, list[str]]] = [
-    ("g(xs::Vector{<:~A}) = 0\n", 1, 0, "ok", []),
-    ("f(x::T) where T = ~A\n", 0, 0, "vacuous", []),
-    ("g(xs::Vector{>:~A}) = 0\n", 0, 1, "ok", ["~A"]),
-    ("g(xs::Dict{>:String, >:~A}) = 0\n", 0, 2, "ok", ["String", "~A"]),
-    ("f(x::T) where {T>:~A, Nothing<:S<:Number} = 0\n", 2, 1, "ok", ["~A", "Nothing"]),
-    ("f(x::T) where ~A<:T where S<:Number = 0\n", 2, 0, "ok", []),
-    ("f(x::T) where T>:~A where S>:~A = 0\n", 0, 2, "ok", ["~A", "~A"]),
-    ("f(x::T) where ~A<:T<:S where {S<:Number, ~A<:Q<:Nothing} where U>:Bool = 0\n", 5, 1, "ok", ["~A", "~A", "Bool"]),
-    ("f(x::T) where Number>:T>:~A = 0\n", 0, 2, "ok", []),
-    ("f(x) = 5\nf(x, y::T) where T>:S where S = x\nconst X = 7\ng(x::T) where {~A<:T<:Number, S<:Bool} = x\n"
-     "h(d::Dict{K,>:~A}) where K<:Vector{>:Bool} :: Vector{>:Missing} = d\n", 4, 4, "ok",
-     ["S", "~A", "~A", "Bool", "Missing"]),
-    ("f(x::T, y::S) where {T>:Nothing, ~A<:S<:Number} where Q>:Bool = 10\n\n"
-     "f(xs::Vect{>:String}, ys::Vector{>:T}) where T<:Number = xs\n", 3, 4, "ok",
-     ["~A", "Bool", "Nothing", "String", "T"]),
-    ("id(x::T) where T>:Any = x\n\nid(x::T) where T>:~A = -x\n\nprintln(id(5))\n", 0, 2, "ok", ["Any", "~A"]),
-    ("f(x::T) wher T>:~A = 0\n", 0, 1, "error", []),
-    ("f(x::{T>:~A} = 0\n", 0, 1, "error", []),
-    ("# T >: Foo\ns = \"a >: ~A\"\n", 0, 2, "ok", []),
+    ("keep(m::Matrix{<:~A}) = m\n", 1, 0, "ok", []),
+    ("size2(q::Q) where Q = ~A\n", 0, 0, "vacuous", []),
+    ("drop(m::Matrix{>:~A}, n) = n\n", 0, 1, "ok", ["~A"]),
+    ("zip2(t::Table{>:Char, Row, >:~A}) = t\n", 0, 2, "ok", ["Char", "~A"]),
+    ("put(b::B, k) where {Real<:K<:Number, B>:~A} = k\n", 2, 1, "ok", ["Real", "~A"]),
+    ("new(b::B) where K<:Number where ~A<:B = b\n", 2, 0, "ok", []),
+    ("mix(a::P, b::Q) where P>:~A where Q>:~A = a\n", 0, 2, "ok", ["~A", "~A"]),
+    ("long(a::P) where P>:Bool where {~A<:R<:Real, M<:Real} where ~A<:L<:P = a\n", 5, 1, "ok", ["Bool", "~A", "~A"]),
+    ("odd(a::P) where Real>:P>:~A = a\n", 0, 2, "ok", []),
+    ("add(x::T) where {T>:~A, S<:Real} = x\nconst LIMIT = 9\nmul(p::Q) where ~A<:Q<:Real = p\nlist(v::Vector{>:Char}) = v\n",
+     3, 2, "ok", ["~A", "~A", "Char"]),
+    ("head(c::Chan{>:~A}, d::D) where D>:Symbol where E<:Chan = c\n\n\ntail(c::Chan{>:T}) where T<:Chan = c\n",
+     2, 3, "ok", ["~A", "Symbol", "T"]),
+    ("peek(x::T) where T>:Real = x\nshow(peek(3))\npoke(x::T) where T>:~A = x\n", 0, 2, "ok", ["Real", "~A"]),
+    ("bad(a::P) whre P>:~A = a\n", 0, 1, "error", []),
+    ("open(a::{P>:~A} = a\n", 0, 1, "error", []),
+    ("# P >: Real\nnote = \"b >: ~A\"\n", 0, 2, "ok", []),
+    # strings and comments nested without limit, code inside strings
+    ("s = \"$(a(b(\"k # z\")))\"; h(x::Vector{>:~A}) = 1\n", 0, 1, "ok", ["~A"]),
+    ("#= one #= two =# x T>:Q =#\nafter(y::Ref{>:~A}) = 1\n", 0, 2, "ok", ["~A"]),
+    ("t = \"in $(\"$(V >: ~A)\") out\"\n", 0, 1, "ok", ["~A"]),
+    ("never(x::Ref{>:~A}) = \"open\n", 0, 1, "error", []),
+    ("deep(x::Ref{>:~A}) = 1 #= open #= =#\n", 0, 1, "error", []),
 ]
 
 # Source files with their annotation rows (function, kind, type)
 # and declaration rows (name, kind, declaration, supertype), in source order
 _N = "<NOT A FUNSIG>"
 SOURCES: list[tuple[str, list[tuple[str, str, str]], list[tuple[str, str, str, str]]]] = [
-    ("fdefNoArg() = 0\n", [("fdefNoArg", "mtsig", "Tuple{}")], []),
-    ("function fdefArgs(x, y::Vector{~A}, z::Int = 0)\n  baz :: Vector{<:~A}\n  \"blah\"\nend\n",
-     [("fdefArgs", "mtsig", "Tuple{Any, Vector{~A}, Int}"), (_N, "tyassorann", "Vector{<:~A}")], []),
-    ("(simp(x::Dict{T, S}, y) :: Vector{~A}) where {T, S} = T[]\n",
-     [("simp", "mtsig", "(Tuple{Dict{T, S}, Any} where S) where T"), ("simp", "retty", "Vector{~A}")], []),
-    ("function ret(\n  a, b=0, c::~A=0, x::T, y::S\n) :: String where T<:S where S>:AbstractArray\n  c+x\nend\n",
-     [("ret", "mtsig", "(Tuple{Any, Any, ~A, T, S} where T <: S) where S >: AbstractArray"),
-      ("ret", "retty", "String")], []),
-    ("Base.qual(x::~A) :: Int = 0\n", [("Base.qual", "mtsig", "Tuple{~A}"), ("Base.qual", "retty", "Int")], []),
-    ("module X\n    foo(x::~A) = 0\n\n    struct Bar end\n\n    struct Zoo\n        x :: Bar\n    end\n\n"
-     "    function baz(xs::Vector{T}, y::T) where T\n        bar() = Bar()\n        \"abc\" :: String\n    end\n\n"
-     "    println()\nend\n",
-     [("foo", "mtsig", "Tuple{~A}"), (_N, "tyassorann", "Bar"), ("baz", "mtsig", "Tuple{Vector{T}, T} where T"),
-      ("bar", "mtsig", "Tuple{}"), (_N, "tyassorann", "String")],
-     [("Bar", "tdstrc", "Bar", "Any"), ("Zoo", "tdstrc", "Zoo", "Any")]),
+    ("area(r::~A) = r * r\nsides() = 4\n", [("area", "mtsig", "Tuple{~A}"), ("sides", "mtsig", "Tuple{}")], []),
+    ("function walk(tree, depth::Int = 1, seen::Set{~A} = none)\n  left :: Node{<:~A}\n  left\nend\n",
+     [("walk", "mtsig", "Tuple{Any, Int, Set{~A}}"), (_N, "tyassorann", "Node{<:~A}")], []),
+    ("(top(h::Heap{K}) :: Entry{K, ~A}) where K = h\n",
+     [("top", "mtsig", "Tuple{Heap{K}} where K"), ("top", "retty", "Entry{K, ~A}")], []),
+    ("function pull(io::IO, n::~A; limit::L = 10, strict = true) :: Bool where L <: Integer\n  n < limit\nend\n",
+     [("pull", "mtsig", "Tuple{IO, ~A, L, Any} where L <: Integer"), ("pull", "retty", "Bool")], []),
+    ("Lib.Sub.step(s::~A) :: State = s\n", [("Lib.Sub.step", "mtsig", "Tuple{~A}"), ("Lib.Sub.step", "retty", "State")], []),
+    ("module Geometry\nstruct Point\n  x :: ~A\nend\nmodule Inner\n  norm(p::Point, q::P) where P <: Point = 1\n"
+     "  zero :: Float64\nend\nabstract type Shape end\nend\n",
+     [(_N, "tyassorann", "~A"), ("norm", "mtsig", "Tuple{Point, P} where P <: Point"), (_N, "tyassorann", "Float64")],
+     [("Point", "tdstrc", "Point", "Any"), ("Shape", "tdabst", "Shape", "Any")]),
+    # comments inside heads, types and declarations; nested comments
+    ("function draw(x::~A, # first, of two\n  #= #= =# z::Int, =# y::Bool)\n  x\nend\n",
+     [("draw", "mtsig", "Tuple{~A, Bool}")], []),
+    ("struct Grid{T, # cells\n  S} <: Base{T} end\nq :: Dict{~A, # key\n  Int}\n",
+     [(_N, "tyassorann", "Dict{~A, Int}")], [("Grid", "tdstrc", "Grid{T, S}", "Base{T}")]),
+    ("#= #= =# hidden(x::Int)=1 =#\nshown(y::~A)=1\n", [("shown", "mtsig", "Tuple{~A}")], []),
+    ("say(s = \"$(g(h(\"x # y\")))\", t::~A = 1) = t\n", [("say", "mtsig", "Tuple{Any, ~A}")], []),
     ("f(; x, y = 0, z :: ~A, w :: Bool = false) = 1\n", [("f", "mtsig", "Tuple{Any, Any, ~A, Bool}")], []),
     ("f((a, b), @nospecialize(x), g(z), c::~A...) = 1\n",
      [("f", "mtsig", "Tuple{TUPLE_ARG, NOSPECIALIZE, CALL, Vararg{~A}}")], []),

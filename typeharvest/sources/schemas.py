@@ -7,7 +7,6 @@ def _strings(*names: str) -> StructType:
     return StructType([StructField(n, StringType()) for n in names])
 
 
-CODE_FILES = _strings("Package", "File", "text")
 TYPE_ANNOTATIONS = _strings("File", "Function", "Kind", "TypeAnnotation")
 TYPE_DECLARATIONS = _strings("File", "Name", "Kind", "TypeDeclaration", "Supertype")
 PACKAGE_LIST = _strings("name", "uuid", "version")
