@@ -34,6 +34,8 @@ from pyspark.sql import Window as W
 from .common import RollingHash, mix, ship, whole_text, written
 
 LENGTH, K = 100, 24
+#: Strings in a part of a hot K-gram's stretch.
+CELL = 6
 #: Bytes of a text that are hashed at once; positions fit into as many low bits as it has.
 CHUNK = 1 << 19
 _LOW = np.uint64((1 << 20) - 1)
@@ -116,40 +118,68 @@ def _named(sampled: DataFrame) -> DataFrame:
     return cold.unionByName(later).unionByName(opened)
 
 
+def _cells(data: RollingHash, start: int, n: int, length: int) -> Iterator[tuple[int, int, int, int, list[int]]]:
+    """(core, name, start, n, names of the strings) of each part of a stretch of a hot K-gram. Parts are cut at fixed distances from the K-gram, so equal strings lie in parts that share their core, the bytes that all strings of a whole part have in common."""
+    grams = np.arange(start, start + length - K + 1)
+    gram = start + int(_least(mix(data.spans(grams, grams + K)), length - K + 1)[0])
+    at = start
+    while at < start + n:
+        low = gram - -(-(gram - at) // CELL) * CELL
+        end = min(low + CELL, start + n)
+        places = np.arange(at, end)
+        ends = np.array([[low + CELL - 1, at], [low + length, end - 1 + length]])
+        core, name = mix(data.spans(ends[0], ends[1])).view(np.int64).tolist()
+        yield core, name, at, end - at, mix(data.spans(places, places + length)).view(np.int64).tolist()
+        at = end
+
+
 def _strings(texts: DataFrame, opened: DataFrame, length: int) -> DataFrame:
-    """Bytes of each open stretch (rare K-grams), or the name of each of its strings (hot ones)."""
+    """Bytes of each open stretch (rare K-grams), or its parts (hot ones)."""
     wanted = opened.groupBy(F.col("doc").alias("d")).agg(F.collect_list(F.struct("gram", "start", "n", "hot")).alias("wanted"))
-    schema = "gram long, name long, doc long, start int, n int, bytes binary"
+    schema = "gram long, core long, name long, doc long, start int, n int, names array<long>, bytes binary"
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.binary())
+    columns = ["gram", "core", "name", "doc", "start", "n", "names", "bytes"]
+
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.record_batch([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], names=columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows: list[list] = [[], [], [], [], [], []]
+            rows: list[tuple] = []
             for doc, t, wanted in zip(b.column("doc").to_pylist(), b.column("text"), b.column("wanted").to_pylist()):
-                data, hashed = t.as_py().encode(), None
+                data = t.as_py().encode()
+                hashed = RollingHash(data) if any(w["hot"] for w in wanted) else None
                 for w in wanted:
-                    start, n = w["start"], w["n"]
+                    gram, start, n = w["gram"], w["start"], w["n"]
                     if w["hot"]:
-                        hashed = hashed or RollingHash(data)
-                        at = np.arange(start, start + n)
-                        for s, name in zip(at.tolist(), mix(hashed.spans(at, at + length)).view(np.int64).tolist()):
-                            for column, x in zip(rows, (w["gram"], name, doc, s, 1, None)):
-                                column.append(x)
+                        rows += [(gram, core, name, doc, at, m, names, None) for core, name, at, m, names in _cells(hashed, start, n, length)]
                     else:
-                        for column, x in zip(rows, (w["gram"], None, doc, start, n, data[start : start + n - 1 + length])):
-                            column.append(x)
-                if len(rows[0]) > 50_000:
+                        rows.append((gram, None, None, doc, start, n, None, data[start : start + n - 1 + length]))
+                if len(rows) > 50_000:
                     yield batch(rows)
-                    rows = [[], [], [], [], [], []]
-            if rows[0]:
+                    rows = []
+            if rows:
                 yield batch(rows)
 
-    def batch(rows: list) -> pa.RecordBatch:
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
-        return pa.record_batch([pa.array(x, k) for x, k in zip(rows, kinds)], names=["gram", "name", "doc", "start", "n", "bytes"])
-
     return texts.join(wanted, F.col("doc") == F.col("d")).select("doc", "text", "wanted").mapInArrow(run, schema)
 
 
+def _later_hot(cells: DataFrame) -> DataFrame:
+    """(doc, start, n) of strings of hot K-grams that also start earlier: whole parts by their names, then single strings of parts that share a core only."""
+    kinds = cells.groupBy("gram", "core", "name").agg(F.min(F.struct("doc", "start", "names")).alias("first"), F.count("*").alias("c"))
+    kinds = written(kinds, "parts")
+    again = kinds.where("c > 1").select(F.col("gram").alias("g"), F.col("core").alias("k"), F.col("name").alias("m"), "first.doc", "first.start")
+    whole = cells.alias("x").join(again.alias("y"), (F.col("gram") == F.col("g")) & (F.col("core") == F.col("k")) & (F.col("name") == F.col("m")))
+    whole = whole.where("x.doc <> y.doc OR x.start <> y.start").select("x.doc", "x.start", "n")
+    shared = kinds.groupBy("gram", "core").agg(F.min("name").alias("lo"), F.max("name").alias("hi")).where("lo <> hi").select(F.col("gram").alias("g"), F.col("core").alias("k"))
+    apart = kinds.join(shared, (F.col("gram") == F.col("g")) & (F.col("core") == F.col("k")), "left_semi")
+    single = written(apart.select("gram", "first.doc", "first.start", F.posexplode("first.names").alias("i", "name")).select("gram", "name", "doc", (F.col("start") + F.col("i")).alias("start")), "single-strings")
+    first = single.groupBy("gram", "name").agg(F.min(F.struct("doc", "start")).alias("first"), F.count("*").alias("c")).where("c > 1")
+    first = written(first.select(F.col("gram").alias("g"), F.col("name").alias("m"), "first"), "first-strings")
+    later = single.join(first, (F.col("gram") == F.col("g")) & (F.col("name") == F.col("m"))).where("doc <> first.doc OR start <> first.start")
+    return whole.unionByName(later.select("doc", "start", F.lit(1).alias("n")))
+
+
 def _later_strings(strings: DataFrame, length: int) -> DataFrame:
     """(doc, start, n): runs of strings that also start earlier."""
     rare = strings.where("bytes IS NOT NULL").select("gram", "doc", "start", "n", "bytes")
@@ -180,11 +210,7 @@ def _later_strings(strings: DataFrame, length: int) -> DataFrame:
             yield pa.record_batch([pa.array(doc[first]), pa.array(start[first].astype(np.int32)), pa.array((end - first).astype(np.int32))], names=["doc", "start", "n"])
 
     cold = rare.repartition(parts, "gram").mapInArrow(run, "doc long, start int, n int")
-    often = strings.where("bytes IS NULL").select("gram", "name", "doc", "start")
-    first = often.groupBy("gram", "name").agg(F.min(F.struct("doc", "start")).alias("first"), F.count("*").alias("c")).where("c > 1")
-    first = written(first.select(F.col("gram").alias("g"), F.col("name").alias("m"), "first"), "first-strings")
-    hot = often.join(first, (F.col("gram") == F.col("g")) & (F.col("name") == F.col("m"))).where("doc <> first.doc OR start <> first.start").select("doc", "start", F.lit(1).alias("n"))
-    return cold.unionByName(hot)
+    return cold.unionByName(_later_hot(strings.where("bytes IS NULL").drop("bytes")))
 
 
 def repeated(texts: DataFrame, length: int = LENGTH) -> DataFrame:
