@@ -4,7 +4,7 @@ A text is known by its sha256 and the digest of the tokenizer's file and library
 stored table; only distinct texts that it lacks are encoded, and their counts are appended. Digests shuffle, and each
 missing text once; a text that holds a third of the rows is one digest after partial aggregation.
 
-Null text: empty. Null and repeated ids: each row gets its count. An empty table: no rows. Other columns are ignored.
+Null text: empty. Null and repeated ids: each row gets its count (a row repeated with its id may be encoded again). An empty table: no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
