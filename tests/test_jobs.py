@@ -37,7 +37,12 @@ def test_folders_end_to_end(spark, tmp_path):
     want = sorted(tuple(r) for r in stored.select(*cols).collect())
     assert sorted(tuple(r) for r in csv.select(*cols).collect()) == want and len(want) == 4
     decls = spark.read.parquet(f"{dest}/declarations")
-    totals, decl_totals = jobs.analyze_job(spark, stored, decls, dest)
+    packages = readers.package_dirs(spark, root).select("Package")
+    totals, decl_totals = jobs.analyze_job(spark, stored, decls, dest, packages=packages)
+    assert tuple(spark.read.parquet(f"{dest}/good-bad-packages").first()) == (1, 3)
+    assert {r.Package for r in spark.read.parquet(f"{dest}/bad-packages").collect()} == {"B.jl", "C.jl", "D.jl"}
+    flags = spark.read.parquet(f"{dest}/package-flags-type-annotations").first()
+    assert (flags.Package, flags.pkgwarn, flags.pkgintr) == ("A.jl", False, True)
     got = {r.statistic: r.total for r in totals.collect()}
     assert got["total"] == 4 and got["HasWhere"] == 4 and got["Error"] == 0 and got["ExistInInv"] == 1
     assert {r.statistic: r.total for r in decl_totals.collect()}["VarCnt"] == 1
@@ -47,7 +52,9 @@ def test_folders_end_to_end(spark, tmp_path):
         f"{dest}/summary-non-imp-use-site-type-annotations").collect()}
     assert (shown["HasWhere"]["min"], shown["VarCnt"]["max"], shown["ExistInInv"]["sum"]) == ("true", "1", "1")
     report = [r.line for r in jobs.census_job(spark, root, dest).collect()]
-    assert report == ["Interesting packages: 0\nLower bounds: 0\nUnique lower bounds: 0"]
+    assert report[:4] == ["Failed packages (no src folder): 2", "C.jl", "D.jl", "Good packages: 2"]
+    # only the bound below src/ counts, and there is none
+    assert report[4:] == ["Interesting packages: 0\nLower bounds: 0\nUnique lower bounds: 0"]
     dirs = {r.Package: r.hasSrc for r in readers.package_dirs(spark, root).collect()}
     assert dirs == {"A.jl": True, "B.jl": True, "C.jl": False, "D.jl": False}
 
@@ -58,7 +65,9 @@ def test_census_job_counts_empty_files(spark, tmp_path):
     _write(root, "P.jl/src/two.jl", "#= #= =# h(x::Ref{>:Int}) =#\nk(x::Ref{T}) where T >: Bool = 1\n")
     _write(root, "P.jl/src/three.jl", "")
     report = [r.line for r in jobs.census_job(spark, root, str(tmp_path / "out")).collect()]
-    assert report[0].endswith("Non vacuous files: 2/3") and report[-1].startswith("Interesting") is False
+    assert report[:2] == ["All packages processed successfully", "Good packages: 1"]
+    assert report[2].startswith("P.jl: { unique/lbs: 3/4,") and report[2].endswith("Non vacuous files: 2/3")
+    assert report[5] == "Interesting packages: 1\nLower bounds: 4\nUnique lower bounds: 3"
     census = {r.File: r for r in spark.read.parquet(str(tmp_path / "out/census")).collect()}
     assert {f: (r.status, r.lbs) for f, r in census.items()} == {"src/one.jl": ("ok", 3), "src/two.jl": ("ok", 1), "src/three.jl": ("vacuous", None)}
 

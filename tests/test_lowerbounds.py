@@ -85,6 +85,8 @@ def test_package_census_and_report(spark):
     assert rolled[("corpus", None)] == (7, 6) and rolled[("package", None)] == (7, 6)
     assert rolled[("file", "src/two.jl")] == (5, 5) and rolled[("file", "src/use.jl")] == (2, 2)
     lines = [r.line for r in L.report_rows(packages, census).collect()]
+    assert lines[:3] == ["Failed packages (no src folder): 1", "Bad.jl", "Good packages: 2"]
+    lines = lines[3:]
     assert lines[0].startswith("Real.jl: { unique/lbs: 6/7,\n  Int      => 2, Any      => 1")
     assert lines[0].endswith("Non vacuous files: 2/3")
     assert lines[1].startswith("* src/two.jl => (<: 3, >: 4)\n{ unique/lbs: 5/5,")

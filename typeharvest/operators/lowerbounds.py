@@ -198,12 +198,23 @@ def stat_block(unique: Column, lbs: Column, entries: Column) -> Column:
 
 
 def report_rows(packages: DataFrame, census: DataFrame) -> DataFrame:
-    """The ranked report as rows (section, ord, Package, File, line).
+    """The report as rows (section, rank, Package, File, line): packages without
+    sources, the ranked good ones with their files, totals, corpus values.
 
     One row per package header, file block or corpus value: no block is ever
     built for a whole corpus, and a package's values are rows of their own file.
     """
-    good = package_census(packages, census).filter("hasSrc and lbs > 0")
+    counted = package_census(packages, census)
+    good = counted.filter("hasSrc and lbs > 0")
+    line = lambda rank, text: F.struct(F.lit(rank).cast("bigint").alias("rank"), F.lit("").alias("Package"), text.alias("line"))
+    # The report's wording
+    failed = F.when(F.col("bad") == 0, "All packages processed successfully").otherwise(
+        F.concat(F.lit("Failed packages (no src folder): "), F.col("bad").cast("string")))
+    outcome = counted.agg(F.count_if(~F.col("hasSrc")).alias("bad"), F.count_if("hasSrc").alias("good")).select(F.explode(F.array(
+        line(0, failed), line(2, F.concat(F.lit("Good packages: "), F.col("good").cast("string"))))).alias("l")).select("l.*")
+    outcome = outcome.unionByName(counted.filter("not hasSrc").select(
+        F.lit(1).cast("bigint").alias("rank"), "Package", F.col("Package").alias("line"))).select(
+        F.lit(0).alias("section"), "rank", "Package", F.lit("").alias("File"), "line")
     blocks = multiset_sum(exploded(census), ["Package"]).groupBy("Package").agg(
         F.collect_list(F.struct("value", "freq")).alias("entries"))
     headers = good.join(blocks, "Package").select(
@@ -231,6 +242,6 @@ def report_rows(packages: DataFrame, census: DataFrame) -> DataFrame:
                  F.lit("\nLower bounds: "), F.col("lbs").cast("string"),
                  F.lit("\nUnique lower bounds: "), F.col("u").cast("string")).alias("line"))
     return (
-        headers.unionByName(file_rows).unionByName(totals).unionByName(values)
+        outcome.unionByName(headers).unionByName(file_rows).unionByName(totals).unionByName(values)
         .orderBy("section", "rank", "Package", "File")
     )

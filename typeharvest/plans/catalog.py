@@ -185,9 +185,9 @@ def _catalog() -> dict[str, tuple[Query, str | None]]:
         lambda s, d: lowerbounds.rank_values(lowerbounds.multiset_sum(lowerbounds.exploded(_census(s, d)), [])),
         f"{code} SELECT value, count(*) AS freq FROM lbs GROUP BY value")
     q["snk6_report_lines"] = (
-        lambda s, d: lowerbounds.report_rows(
-            C.code_files(s, d).select("Package").distinct().withColumn("hasSrc", F.lit(True)), _census(s, d)),
+        lambda s, d: lowerbounds.report_rows(C.packages(s, d), _census(s, d)),
         f"""{code}, c AS ({counters}), pv AS (SELECT Package, value, count(*) AS f FROM lbs GROUP BY 1, 2),
+        bad AS (SELECT DISTINCT 'Pkg' || s_suppkey AS Package FROM supplier WHERE 'Pkg' || s_suppkey NOT IN (SELECT Package FROM code)),
         fv AS (SELECT Package, File, value, count(*) AS f FROM lbs GROUP BY 1, 2, 3),
         pl AS (SELECT Package, sum(f) AS n, count(*) AS u, string_agg((CASE WHEN length(value) >= 8 THEN value ELSE
           rpad(value, 8, ' ') END) || ' => ' || f, ', ' ORDER BY f DESC, value) AS body FROM pv GROUP BY 1),
@@ -201,6 +201,10 @@ def _catalog() -> dict[str, tuple[Query, str | None]]:
           '* ' || (CASE WHEN length(fl.File) >= 8 THEN fl.File ELSE rpad(fl.File, 8, ' ') END) || ' => (<: ' || sub || ', >: ' || sup || ')' || chr(10)
           || '{{ unique/lbs: ' || fl.u || '/' || fl.n || ',' || chr(10) || '  ' || fl.body || chr(10) || '}}'
         FROM fl JOIN pl ON fl.Package = pl.Package JOIN code ON code.Package = fl.Package AND code.File = fl.File
+        UNION ALL SELECT 0, 0, '', '', CASE WHEN count(*) = 0 THEN 'All packages processed successfully'
+          ELSE 'Failed packages (no src folder): ' || count(*) END FROM bad
+        UNION ALL SELECT 0, 1, Package, '', Package FROM bad
+        UNION ALL SELECT 0, 2, '', '', 'Good packages: ' || count(*) FROM c
         UNION ALL SELECT 2, 0, '', '', 'Interesting packages: ' || (SELECT count(*) FROM pl) || chr(10) || 'Lower bounds: '
           || count(*) || chr(10) || 'Unique lower bounds: ' || count(DISTINCT value) FROM lbs
         UNION ALL SELECT 3, CAST(-count(*) AS BIGINT), value, '', (CASE WHEN length(value) >= 8 THEN value ELSE

@@ -28,9 +28,11 @@ def extract_job(spark: SparkSession, packages: str, dest: str) -> DataFrame:
 
 def analyze_job(
     spark: SparkSession, annotations: DataFrame, declarations: DataFrame, dest: str,
-    registry: PredicateRegistry = DEFAULT_REGISTRY, dedupe: bool = True,
+    registry: PredicateRegistry = DEFAULT_REGISTRY, dedupe: bool = True, packages: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame]:
-    """Analyzed tables, package summaries, filtered tables; returns corpus totals."""
+    """Analyzed tables, package summaries and flags, filtered tables; returns
+    corpus totals. ``packages`` (Package): the list that good and bad packages
+    are told from."""
     tune(spark)
     analysis.analyze_annotations(annotations, registry, dedupe=dedupe).write.mode("overwrite").parquet(
         f"{dest}/analyzed-annotations")
@@ -43,6 +45,12 @@ def analyze_job(
     writers.write_summaries(summary.summarize_columns(anns, columns, ["Package"]), f"{dest}/summary-type-annotations")
     writers.write_summaries(
         summary.summarize_columns(decls, summary.DECLARATION_COLUMNS, ["Package"]), f"{dest}/summary-type-declarations")
+    flags = {"annotations": summary.annotation_package_flags(anns), "declarations": summary.declaration_package_flags(decls)}
+    for name, df in flags.items():
+        df.write.mode("overwrite").parquet(f"{dest}/package-flags-type-{name}")
+    if packages is not None:
+        summary.good_and_bad(packages, anns).write.mode("overwrite").parquet(f"{dest}/good-bad-packages")
+        readers.bad_packages(packages, anns).write.mode("overwrite").parquet(f"{dest}/bad-packages")
     ann_tables = summary.annotation_tables(anns, registry)
     decl_tables = summary.declaration_tables(decls)
     writers.write_tables(ann_tables | decl_tables, dest)
