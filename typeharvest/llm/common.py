@@ -17,14 +17,18 @@ _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 
 
+#: Temporary folders of local sessions, by application.
+_LOCAL: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share. Only where the cluster names none (local tests) a temporary one is made."""
     found = spark.conf.get(CHECKPOINT_DIR, None)
     if not found:
         if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
             raise ValueError(f"set {CHECKPOINT_DIR} to a folder that all executors share")
-        found = f"file://{tempfile.mkdtemp(prefix='shared-')}"
-        spark.conf.set(CHECKPOINT_DIR, found)
+        own = spark.sparkContext.applicationId
+        found = _LOCAL.get(own) or _LOCAL.setdefault(own, f"file://{tempfile.mkdtemp(prefix='shared-')}")
     return found.rstrip("/")
 
 
