@@ -1,13 +1,16 @@
 """Near-duplicates by a chosen-path similarity join.
 
-Documents are sets of word shingles. Equal sets are one item, whatever their number. In each of TREES independent trees an
+Documents are sets of word shingles. Equal sets are one item, whatever their number. In each of several independent trees an
 item goes down the branches of selected minwise tokens: a node's items share the tokens on its path. Nodes of one item are
 dropped. Larger nodes branch on one or two more minwise tokens, so that a similar pair is expected to stay together in
 more than one child; small ones are compared exhaustively. The first FIRST trees go before: their small nodes give the
 links that join parts of them, their large nodes compare each item with two pivots. Links are confirmed on the full sets
 and joined to components, and a node whose items are all in one component needs no further work: so a group of near
-copies is settled by its pivots, not by its pairs. A node that stays large down to DEPTH is compared in blocks. The only
-pairs that can be missed are those that separate in every tree: less than one in ten thousand at the least similarity.
+copies is settled by its pivots, not by its pairs. A node that stays large down to DEPTH is compared in blocks. Nodes and
+blocks are compared twice: first for the links that join parts of them, then for all that is still open. The only pairs
+that can be missed are those that separate in every tree, or whose tokens differ far more than their sets. plan() takes so
+many trees that, by the branch rule and the spread of the tokens, it is at most MISSED of the pairs at the least
+similarity, though their nodes stay large down to DEPTH.
 
 Each level is a few joins over written tables; neither items nor links reach the driver.
 
@@ -18,7 +21,8 @@ Null or empty text: no shingles, linked with nothing. Null ids: component null,
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
+from functools import cache, reduce
+from math import lgamma
 
 import numpy as np
 import pyarrow as pa
@@ -29,21 +33,39 @@ from pyspark.sql import Window as W
 
 from .common import RollingHash, mix, n_partitions, ship, whole_text, written
 
-WORDS, TREES, DEPTH = 5, 16, 10
-#: Depth below which nodes have one branch only.
-WIDE = 5
+WORDS, DEPTH = 5, 6
+#: Share of the pairs at the least similarity that may be missed.
+MISSED = 1e-4
 #: Trees of the first batch; what it links need not be compared in the others.
 FIRST = 3
 #: Minwise tokens of an item, most items of a small node, share of nodes with two branches.
-TOKENS, SMALL, TWO = 64, 24, 0.35
-#: By how much an estimate may be below the threshold: more than four deviations of TOKENS tokens at 0.8.
-SLACK = 0.21
+TOKENS, SMALL, TWO = 128, 24, 0.7
+#: Items of a block of a large node, in small nodes.
+BLOCK = 8
 
 _RNG = np.random.Generator(np.random.PCG64(977))
 _FACTORS = _RNG.integers(1, 2**31, TOKENS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _MASKS = _RNG.integers(0, 2**32, TOKENS, dtype=np.uint32)
 
 
+@cache
+def plan(percent: int) -> tuple[int, float]:
+    """(trees, least share of equal tokens of a compared pair) by which at most MISSED of the pairs that are `percent` similar are missed. An error where no number of trees up to TOKENS does it."""
+    shared = np.arange(TOKENS + 1)
+    similar = min(max(percent / 100, 1e-9), 1 - 1e-9)
+    ways = np.array([lgamma(TOKENS + 1) - lgamma(k + 1) - lgamma(TOKENS - k + 1) for k in shared])
+    weight = np.exp(ways + shared * np.log(similar) + (TOKENS - shared) * np.log1p(-similar))
+    least = int(np.argmax(np.cumsum(weight) > MISSED / 4))
+    equal = shared / TOKENS
+    together = np.ones(TOKENS + 1)  # in some node of the last level, by the share of equal tokens
+    for _ in range(DEPTH - 1):
+        together = 1 - (1 - equal * together) * (1 - TWO * equal * together)
+    for trees in range(1, TOKENS + 1):
+        if weight[:least].sum() + (weight * (1 - equal * together) ** trees)[least:].sum() <= MISSED:
+            return trees, least / TOKENS
+    raise ValueError(f"{percent} in a hundred is too little for {TOKENS} tokens")
+
+
 def shingles(text: str, words: int = WORDS) -> np.ndarray:
     """Sorted distinct hashes of a text's word shingles; fewer words are one shingle, none give none."""
     parts = text.encode().lower().split()  # ASCII letters and white space only
@@ -104,7 +126,7 @@ def _branch(members: DataFrame, depth: int) -> DataFrame:
             path = b.column("path").to_numpy().view(np.uint64)
             tokens = np.frombuffer(b"".join(b.column("tokens").to_pylist()), dtype=np.uint32).reshape(b.num_rows, TOKENS)
             rows = np.arange(b.num_rows)
-            for child in (0, 1)[: 2 if depth < WIDE else 1]:
+            for child in (0, 1):
                 at = mix(path + np.uint64(depth * 2 + child + 1))
                 own = rows if child == 0 else rows[(at >> np.uint64(40)) < np.uint64(int(TWO * 2**24))]
                 if len(own):
@@ -217,7 +239,7 @@ class _Join:
 
     def __init__(self, spark: SparkSession, docs: DataFrame, items: DataFrame, words: int, percent: int) -> None:
         self.spark, self.docs, self.items, self.words, self.percent = spark, docs, items, words, percent
-        self.least = percent / 100 - SLACK
+        self.trees, self.least = plan(percent)
         self.links = spark.createDataFrame([], "a long, b long")
         self.parts = spark.createDataFrame([], "id long, component long")
 
@@ -256,17 +278,18 @@ class _Join:
         self_least = self.least
         return met.select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b"), "tokens", "pivot_tokens").mapInArrow(run, "a long, b long")
 
-    def blocks(self, nodes: DataFrame) -> DataFrame:
+    def blocks(self, nodes: DataFrame, forest: bool) -> DataFrame:
         """All pairs of large nodes, block against block."""
-        count = F.ceil(F.col("size") / SMALL).cast("int")
+        count = F.ceil(F.col("size") / (BLOCK * SMALL)).cast("int")
         own = self.with_tokens(nodes).withColumn("blocks", count).withColumn("block", F.pmod(F.xxhash64("id", F.lit(5)), count).cast("int"))
         met = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         key = F.xxhash64("path", F.least("block", "other"), F.greatest("block", "other"))
         # blocks of a pair meet under its key; within a block its items are met once, under the block paired with itself
         members = met.select(key.alias("path"), F.when(F.col("block") != F.col("other"), F.col("block")).alias("side"), "id", "component", "tokens")
-        return _compare(members.repartition(n_partitions(self.spark), "path").sortWithinPartitions("path", "id"), self.least, False)
+        return _compare(members.repartition(n_partitions(self.spark), "path").sortWithinPartitions("path", "id"), self.least, forest)
 
-    def run(self, trees: int) -> None:
+    def run(self, trees: int | None) -> None:
+        trees = trees or self.trees
         first, others = (self.written_nodes(_first_paths(self.items, t)) for t in (range(min(FIRST, trees)), range(min(FIRST, trees), trees)))
         involved = first.select("id").unionByName(others.select("id")).distinct().hint("shuffle_hash")
         texts = written(self.docs.join(involved, F.col("doc_id") == F.col("id"), "left_semi").select(F.col("doc_id").alias("id"), "text").distinct(), "texts")
@@ -282,14 +305,19 @@ class _Join:
                 break
             nodes = self.written_nodes(_branch(self.with_tokens(nodes).select("path", "id", "tokens"), depth))
             depth += 1
-        pairs = self.small(reduce(DataFrame.unionByName, leaves), False)
-        self.settle(pairs.unionByName(self.blocks(nodes)) if depth == DEPTH else pairs, texts)
+        few, many = reduce(DataFrame.unionByName, leaves), nodes
+        for forest in (True, False):
+            pairs = self.small(few, forest)
+            self.settle(pairs.unionByName(self.blocks(many, forest)) if depth == DEPTH else pairs, texts)
+            if forest:
+                left = self.written_nodes(few.unionByName(many).select("path", "id"))
+                few, many = left.where(F.col("size") <= SMALL), left.where(F.col("size") > SMALL)
 
     def written_nodes(self, nodes: DataFrame) -> DataFrame:
         return written(self.open_nodes(nodes), "nodes")
 
 
-def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = 85, trees: int = TREES) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = 85, trees: int | None = None) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of each row of docs (doc_id, text). Documents are linked whose shared shingles are at least `percent` in a hundred of all theirs; component_id: the smallest id that links reach."""
     spark = docs.sparkSession
     ship(spark)
@@ -313,7 +341,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = 85, tree
     return own.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
-def one_of_each(docs: DataFrame, words: int = WORDS, percent: int = 85, trees: int = TREES) -> DataFrame:
+def one_of_each(docs: DataFrame, words: int = WORDS, percent: int = 85, trees: int | None = None) -> DataFrame:
     """One row of docs (doc_id, text, ...) for each group of near-duplicates, as it is; rows with a null id stay."""
     keep = near_duplicates(docs, words, percent, trees).where("kept AND doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("_kept")).agg(F.count("*").alias("_rows"))
     keep = written(keep, "kept").hint("shuffle_hash")
