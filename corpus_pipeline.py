@@ -13,13 +13,16 @@ from pyspark.sql import DataFrame, SparkSession
 from typeharvest.llm import decontamination, neardup, packing, secrets, toxicity
 from typeharvest.llm.common import id_crc, written
 
+#: Shared shingles in a hundred from which documents are near-duplicates.
+NEAR = 80
+
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.clean(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), id_crc() % 4 != 2)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return neardup.one_of_each(docs)
+    return neardup.one_of_each(docs, percent=NEAR)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
