@@ -196,13 +196,14 @@ def _confirm(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Da
     """The pairs whose full sets are similar enough; texts: (id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: dict[int, np.ndarray] = {}
+        last: dict[str, np.ndarray] = {}
         for b in batches:
             good = []
-            for a, s, t in zip(b.column("a").to_pylist(), b.column("text_a"), b.column("text_b")):
-                if a not in last:
-                    last = {a: shingles(s.as_py(), words)}
-                x, y = last[a], shingles(t.as_py(), words)
+            for s, t in zip(b.column("text_a"), b.column("text_b")):
+                own = s.as_py()
+                if own not in last:  # an id may stand for several texts
+                    last = {own: shingles(own, words)}
+                x, y = last[own], shingles(t.as_py(), words)
                 both = len(x) + len(y) - len(np.union1d(x, y))
                 good.append(100 * both >= percent * (len(x) + len(y) - both))
             yield b.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
