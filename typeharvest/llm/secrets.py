@@ -27,7 +27,7 @@ KINDS = (
     ("access", "", "AKIA[A-Z0-9]+", 18, "id"),
     ("hex", "", "[0-9a-f]{16,}", 16, "secret"),
     ("short", ASSIGN, VALUE, 6, "secret"),
-    ("login", LOGIN, "[A-Za-z0-9._@-]{3,64}", 3, "id"),
+    ("login", LOGIN, "[A-Za-z0-9._@-]{3,}", 3, "id"),
     ("endpoint", r"(?:https?|ftps?|ssh|postgres(?:ql)?|mysql|mongodb|redis|amqps?|jdbc:[a-z]+)://", "[^\\x20\\x09-\\x0D\"'<>]+", 4, "endpoint"),
 )
 BASE = ("assign", "access", "hex")
