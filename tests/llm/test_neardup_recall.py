@@ -26,7 +26,7 @@ def test_recall_of_nodes_that_stay_large_to_the_last_level(spark, frame, monkeyp
 
 
 def test_plan():
-    assert all(0 < least < percent / 100 for percent in (80, 85, 100) for _, least in [neardup.plan(percent)])
+    assert all(0 < least <= percent / 100 for percent in (80, 85, 100) for _, least in [neardup.plan(percent)])
     assert neardup.plan(80)[0] > neardup.plan(85)[0]
     with pytest.raises(ValueError):
         neardup.plan(30)
