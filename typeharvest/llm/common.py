@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import re
 import tempfile
 import uuid
 import zipfile
@@ -66,6 +67,19 @@ def id_crc(doc_id: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary"))
 
 
+_SEGMENT, _GAP = 1 << 20, re.compile(rb"[\x20\x09-\x0D]")
+
+
+def segments(data: bytes, size: int = _SEGMENT) -> Iterator[bytes]:
+    """The data in order, in parts of about `size` bytes that end before white space: no word is cut, no list holds all words."""
+    at = 0
+    while at < len(data):
+        gap = _GAP.search(data, at + size)
+        end = gap.start() if gap else len(data)
+        yield data[at:end]
+        at = end
+
+
 def n_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
