@@ -28,7 +28,7 @@ from .common import segments, ship
 
 LEVEL, CHUNK, BAD_SHARE = 3, 2048, 0.25
 #: (from so many bytes on, least ratio, greatest ratio); running prose lies well between, doubled text well below.
-BANDS = ((64, 0.30, 1.25), (256, 0.27, 0.95), (1024, 0.24, 0.80), (4096, 0.21, 0.72), (16384, 0.18, 0.68), (65536, 0.15, 0.66))
+BANDS = ((64, 0.30, 1.25), (256, 0.27, 0.95), (1024, 0.24, 0.74), (4096, 0.21, 0.71), (16384, 0.18, 0.68), (65536, 0.15, 0.66))
 LEAST_WORDS, WINDOW, MOST_REPEATED = 10, 5, 20
 
 _SPACE = b"\x20\x09\x0a\x0b\x0c\x0d"
