@@ -13,6 +13,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from typeharvest.shipping import ship
+
 _CODE = re.compile(r"#=|#|\"\"\"|[\"`'()]")
 _COMMENT = re.compile(r"#=|=#")
 _CHAR = re.compile(r"'(?:\\[^']*(?:'(?=')|)|[^'\\])'")
@@ -124,6 +126,7 @@ def code_only(files: DataFrame) -> DataFrame:
             code = pa.array([None if t is None else code_of(t) for t in b.column(k).to_pylist()], pa.string())
             yield b.set_column(k, b.schema.field(k), code)
 
+    ship(files.sparkSession)
     return files.mapInArrow(run, files.schema)
 
 
@@ -154,4 +157,5 @@ def cut(files: DataFrame, spans: str = "spans") -> DataFrame:
                 [*kept.columns, *(pa.array([f[j] for f in found], k) for j, k in enumerate(kinds))],
                 names=[*names, "pos", "kind", "start", "stop", "snippet"])
 
+    ship(files.sparkSession)
     return files.mapInArrow(run, schema)
