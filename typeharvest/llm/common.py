@@ -6,14 +6,14 @@ import contextlib
 import re
 import tempfile
 import uuid
-import zipfile
 from collections.abc import Iterator
-from pathlib import Path
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shipping import ship  # noqa: F401  (of all operators)
+
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 
@@ -134,21 +134,3 @@ class RollingHash:
         if self.n < k:
             return np.empty(0, dtype=np.uint64)
         return (self.sums[k:] - self.sums[: self.n + 1 - k]) * self.inverse[: self.n + 1 - k]
-
-
-# --- the package on the executors -----------------------------------------------------------------------------------
-
-
-def ship(spark: SparkSession) -> None:
-    """Sends this subpackage to the executors once a context, so that tasks can import it where it is not installed."""
-    context = spark.sparkContext
-    if getattr(context, "_llm_shipped", False):
-        return
-    here = Path(__file__).resolve().parent
-    path = Path(tempfile.mkdtemp(prefix="ship-")) / f"{here.parent.name}_llm.zip"
-    with zipfile.ZipFile(path, "w") as z:
-        z.write(here.parent / "__init__.py", f"{here.parent.name}/__init__.py")
-        for f in here.glob("*.py"):
-            z.write(f, f"{here.parent.name}/{here.name}/{f.name}")
-    context.addPyFile(str(path))
-    context._llm_shipped = True
