@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from typeharvest.sources import schemas
+from typeharvest.sources import folders, schemas
 
-SUFFIX = ".jl"
+SUFFIX, SRC = ".jl", "src"
 
 
 def qualified(spark: SparkSession, root: str) -> str:
@@ -33,44 +34,65 @@ def _decoded(path: Column) -> Column:
 
 
 def code_files(spark: SparkSession, root: str, src_only: bool = False) -> DataFrame:
-    """(Package, File, text) of every source file below ``root``/<package>/.
+    """(Package, File, text, ReadStatus, ReadError) of every source file below
+    ``root``/<package>/.
 
     ``src_only`` keeps files under the package's ``src`` folder. Every listed
-    file is a row: an empty one, which Spark's scan skips, has an empty text,
-    and one that cannot be read a null text.
+    file is a row. ReadStatus: ok, empty (an empty text) or failed (a null
+    text, and the reason). Executors list and read; only where their workers
+    cannot open the store does Spark's own file index, on the driver.
     """
-    reader = (
-        spark.read.format("binaryFile").option("pathGlobFilter", f"*{SUFFIX}")
-        .option("recursiveFileLookup", "true").option("ignoreCorruptFiles", "true").load(root)
-    )
     below = qualified(spark, root)
-    raw = reader.select(_under(below, F.col("path")).alias("rel"), F.col("content").cast("string").alias("text"))
-    # the file index holds the names of all files on the driver anyway
+    if folders.reachable(spark, below):
+        found = folders.walk(spark, below, SRC if src_only else None)
+        names = found.filter((F.col("kind") == "file") & F.col("rel").endswith(SUFFIX))
+        raw = folders.read_texts(names.filter(F.col("rel").contains("/")), below)
+    else:
+        raw = _indexed(spark, root, below)
+    df = raw.filter(F.col("rel").contains("/")).select(
+        F.substring_index("rel", "/", 1).alias("Package"),
+        F.expr("substring(rel, instr(rel, '/') + 1)").alias("File"),
+        F.make_valid_utf8(F.col("content").cast("string")).alias("text"),  # other bytes become U+FFFD
+        "ReadStatus", "ReadError")
+    return df.filter(F.col("File").startswith(SRC + "/")) if src_only else df
+
+
+def _indexed(spark: SparkSession, root: str, below: str) -> DataFrame:
+    """Files by Spark's own reader. It gives no row for an empty or unreadable
+    file: those are what its index lists beyond, told apart by their length."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", f"*{SUFFIX}").option("recursiveFileLookup", "true")
+    reader = files.option("ignoreCorruptFiles", "true").option("ignoreMissingFiles", "true").load(root)
+    raw = reader.select(_under(below, F.col("path")).alias("rel"), "content")
     listed = spark.createDataFrame([(p,) for p in reader.inputFiles()], "path string").select(
         _under(below, _decoded(F.col("path"))).alias("rel"))
-    missing = listed.join(raw.select("rel"), "rel", "left_anti")
-    fs = spark._jvm.org.apache.hadoop.fs.Path(root).getFileSystem(spark._jsc.hadoopConfiguration())
-    path_of = lambda rel: spark._jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/{rel}")
-    # the exceptions only: files that the scan gave no row for
-    lengths = [(r.rel, fs.getFileStatus(path_of(r.rel)).getLen()) for r in missing.collect()]
-    rest = spark.createDataFrame([(rel, "" if n == 0 else None) for rel, n in lengths], "rel string, text string")
-    df = raw.unionByName(rest).filter(F.col("rel").contains("/")).select(
-        F.substring_index("rel", "/", 1).alias("Package"),
-        F.expr("substring(rel, instr(rel, '/') + 1)").alias("File"), "text")
-    return df.filter(F.col("File").startswith("src/")) if src_only else df
+    store = spark._jvm.org.apache.hadoop.fs.Path(root).getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def length(rel: str) -> int:
+        try:
+            return store.getFileStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/{rel}")).getLen()
+        except Py4JJavaError:  # gone since
+            return -1
+
+    rest = [(r.rel, length(r.rel)) for r in listed.join(raw.select("rel"), "rel", "left_anti").toLocalIterator()]
+    rest = spark.createDataFrame([(rel, b"" if n == 0 else None) for rel, n in rest], "rel string, content binary")
+    status = F.when(F.col("content").isNull(), "failed").when(F.length("content") == 0, "empty").otherwise("ok")
+    return raw.unionByName(rest).withColumns({
+        "ReadStatus": status, "ReadError": F.when(F.col("content").isNull(), F.lit("not readable"))})
 
 
 def package_dirs(spark: SparkSession, root: str) -> DataFrame:
-    """(Package, hasSrc): the folders below ``root``, and whether they have files under src/."""
+    """(Package, hasSrc): the folders below ``root``, and whether they have a folder src."""
+    below = qualified(spark, root)
+    if folders.reachable(spark, below):
+        found = folders.walk(spark, below, SRC).filter("kind in ('folder', 'failed', 'link')").select(
+            F.split("rel", "/").alias("parts")).filter(F.col("parts")[0] != "")
+        return found.groupBy(F.col("parts")[0].alias("Package")).agg(
+            F.bool_or(F.coalesce(F.get("parts", F.lit(1)) == SRC, F.lit(False))).alias("hasSrc"))
     path = spark._jvm.org.apache.hadoop.fs.Path(root)
-    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
-    folders = spark.createDataFrame([(s.getPath().getName(),) for s in found if s.isDirectory()], "Package string")
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).inputFiles()
-    rel = spark.createDataFrame([(p,) for p in files], "path string").select(
-        _under(qualified(spark, root), _decoded(F.col("path"))).alias("rel"))
-    with_src = rel.filter(F.expr("get(split(rel, '/'), 1) = 'src' and size(split(rel, '/')) > 2")).select(
-        F.substring_index("rel", "/", 1).alias("Package")).distinct().withColumn("hasSrc", F.lit(True))
-    return folders.join(with_src, "Package", "left").select("Package", F.coalesce("hasSrc", F.lit(False)).alias("hasSrc"))
+    store = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    is_dir = lambda *names: store.exists(p := spark._jvm.org.apache.hadoop.fs.Path(*names)) and store.getFileStatus(p).isDirectory()
+    rows = [(s.getPath().getName(), is_dir(s.getPath(), SRC)) for s in store.listStatus(path) if s.isDirectory()]
+    return spark.createDataFrame(rows, "Package string, hasSrc boolean")
 
 
 def stored_table(spark: SparkSession, root: str, schema, file_name: str) -> DataFrame:
