@@ -7,11 +7,14 @@ summary row and its filtered table to the analysis job.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.classic.column import Column as ClassicColumn
 
 # Constructor labels by the way a variable may cross them
 COVARIANT = ["Tuple", "Union", "Where", "UpBnd", "UBVar1"]
@@ -111,8 +114,24 @@ _BUILT_IN = [
 ]
 
 
+def attempt(value: Column) -> Column:
+    """The value, or null in the rows where working it out is an error.
+
+    Spark has this expression for its own try_ functions only; a session without
+    a JVM of its own (Spark Connect) does not offer it.
+    """
+    jvm = SparkSession.active()._jvm
+    columns = jvm.org.apache.spark.sql.classic.ExpressionUtils
+    return ClassicColumn(columns.column(jvm.org.apache.spark.sql.catalyst.expressions.TryEval(columns.expression(value._jc))))
+
+
 class PredicateRegistry:
-    """The ordered predicates an analysis evaluates."""
+    """The ordered predicates an analysis evaluates.
+
+    What is registered beyond the built-in ones cannot harm the others: where it
+    fails in a row, that row's column is null, and where its expression cannot
+    be built or resolved, its column is null throughout, with a warning.
+    """
 
     def __init__(self) -> None:
         self._items: dict[str, Predicate] = {p.column: p for p in _BUILT_IN}
@@ -129,9 +148,22 @@ class PredicateRegistry:
     def columns(self) -> list[str]:
         return list(self._items)
 
-    def evaluate(self, tv: Column) -> dict[str, Column]:
-        """Null where the summary is null (rows that could not be read)."""
-        return {p.column: F.when(tv.isNotNull(), p.build(tv)) for p in self.predicates}
+    def evaluate(self, summarized: DataFrame, tv: str = "TypeVarsSummary") -> dict[str, Column]:
+        """The column of each predicate over the summaries ``tv``; null where
+        the summary is null (rows that could not be read)."""
+        found = F.col(tv)
+        return {p.column: F.when(found.isNotNull(), p.build(found) if p in _BUILT_IN else _isolated(p, summarized, found))
+                for p in self.predicates}
+
+
+def _isolated(predicate: Predicate, summarized: DataFrame, tv: Column) -> Column:
+    try:
+        value = predicate.build(tv)
+        summarized.select(value)  # resolves, or says why not
+    except (AnalysisException, ArithmeticError, AttributeError, LookupError, NameError, TypeError, ValueError) as e:
+        warnings.warn(f"predicate {predicate.column} is null throughout: {type(e).__name__}: {e}", stacklevel=2)
+        return F.lit(None).cast("boolean")
+    return attempt(value)
 
 
 DEFAULT_REGISTRY = PredicateRegistry()

@@ -17,7 +17,7 @@ def analyze_annotations(
 ) -> DataFrame:
     """Summary columns plus one column per registered predicate."""
     summarized = typevars.summarize(annotations, text, dedupe=dedupe)
-    return summarized.withColumns(registry.evaluate(F.col("TypeVarsSummary")))
+    return summarized.withColumns(registry.evaluate(summarized))
 
 
 def analyze_declarations(decls: DataFrame) -> DataFrame:
