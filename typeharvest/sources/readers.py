@@ -5,8 +5,11 @@ from __future__ import annotations
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
+from typeharvest.functions import printed
 from typeharvest.sources import folders, schemas
+from typeharvest.sources.lines import PLACE, numbered, text_lines
 
 SUFFIX, SRC = ".jl", "src"
 
@@ -95,20 +98,36 @@ def package_dirs(spark: SparkSession, root: str) -> DataFrame:
     return spark.createDataFrame(rows, "Package string, hasSrc boolean")
 
 
-def stored_table(spark: SparkSession, root: str, schema, file_name: str) -> DataFrame:
-    """All <package>/<file_name> CSVs below ``root`` with their Package."""
-    rows = (
-        spark.read.schema(schema).option("header", "true").option("quote", '"').option("escape", "\\")
-        .option("multiLine", "true").option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", file_name).csv(root)
-    )
-    rel = _under(qualified(spark, root), _decoded(F.col("_metadata.file_path")))
+def _records(spark: SparkSession, root: str, schema: StructType, file_name: str) -> tuple[DataFrame, DataFrame]:
+    """(all lines, their records): Package, place, the fields or what is wrong; headers left out."""
+    lines = text_lines(spark, root, file_name)
+    rel = _under(qualified(spark, root), _decoded(F.col("file")))
     folder = F.substring_index(rel, "/", 1)
     # folders of the own writer carry the column's name and escape some characters
     package = F.when(folder.startswith("Package="), _decoded(F.substring(folder, len("Package=") + 1, 1 << 20))).otherwise(folder)
-    # the printer that writes these files also escapes the dollar sign
-    fixed = [F.replace(F.col(f.name), F.lit("\\$"), F.lit("$")).alias(f.name) for f in schema.fields]
-    return rows.select(package.alias("Package"), *fixed)
+    names = schema.names
+    headers = [",".join(names), ",".join(f'"{n}"' for n in names)]
+    fields, wrong = printed.parsed(F.col("value"), len(names))
+    rows = lines.filter(~F.col("value").isin(headers) & (F.col("value") != ""))
+    return lines, rows.select(*PLACE, package.alias("Package"), "value", fields.alias("fields"), wrong.alias("kind"))
+
+
+def stored_table(spark: SparkSession, root: str, schema: StructType, file_name: str) -> DataFrame:
+    """All <package>/<file_name> CSVs below ``root`` with their Package.
+
+    A record is a line of printed fields, so files are read in blocks. What is
+    no such line is in ``stored_errors``.
+    """
+    records = _records(spark, root, schema, file_name)[1].filter("kind is null")
+    return records.select("Package", *[F.col("fields")[i].alias(n) for i, n in enumerate(schema.names)])
+
+
+def stored_errors(spark: SparkSession, root: str, schema: StructType, file_name: str) -> DataFrame:
+    """(Package, file, record, kind, value) of each line that is no record: its
+    number in the file (the header is 0) and what is wrong with it."""
+    lines, records = _records(spark, root, schema, file_name)
+    return numbered(lines, records.filter("kind is not null")).select(
+        "Package", "file", F.col("line").alias("record"), "kind", "value")
 
 
 def type_annotations(spark: SparkSession, root: str, file_name: str = "type-annotations.csv") -> DataFrame:
@@ -127,15 +146,17 @@ def bad_packages(packages: DataFrame, table: DataFrame) -> DataFrame:
 def package_list(spark: SparkSession, path: str, first: int | None = None) -> DataFrame:
     """name, uuid, version and the line number, in list order; or the first N.
 
-    A list is a small file; several are taken in the order of their names.
+    Several lists, or the parts of one, are taken in the order of their names.
+    Empty lines count as lines, but not as packages. Of the first N, a task
+    passes on no more than N.
     """
-    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("list"), "value")
-    lines = whole.select("list", F.posexplode(F.split(F.regexp_replace("value", "\r?\n$", ""), "\r?\n")).alias("line", "text"))
-    fields = F.from_csv("text", ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schemas.PACKAGE_LIST.fields))
-    df = lines.filter("text <> ''").select("list", F.col("line").cast("bigint").alias("line"), fields.alias("f"))
+    lines = text_lines(spark, path)
+    wanted = lines.filter("value <> ''")
     if first is not None:
-        df = df.orderBy("list", "line").limit(first)
-    return df.select("f.*", "line")
+        wanted = wanted.orderBy(*PLACE).limit(first)
+    fields = F.from_csv("value", ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schemas.PACKAGE_LIST.fields))
+    found = numbered(lines, wanted).select(*PLACE, fields.alias("f"), "line")
+    return found.orderBy(*PLACE).select("f.*", "line")
 
 
 def log_lines(spark: SparkSession, path: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from typeharvest.functions import printed
 from typeharvest.sources import schemas
 
 #: most files of one package's table
@@ -12,17 +13,28 @@ FILES_OF_PACKAGE = 16
 ORDER = ["Package", "File", "Pos", "Ord"]
 
 
-def _csv(df: DataFrame, path: str, columns: list[str] | None = None, quote_all: bool = True, partition: bool = True) -> None:
-    if partition:  # a package is a few files, whatever the number of tasks
-        spread = F.pmod(F.xxhash64("File"), F.lit(FILES_OF_PACKAGE)) if "File" in df.columns else F.lit(0)
-        df = source_ordered(df.repartition("Package", spread))
-    if columns:
-        df = df.select("Package", *columns)
+def _by_package(df: DataFrame) -> DataFrame:
+    """A package is a few files, whatever the number of tasks."""
+    spread = F.pmod(F.xxhash64("File"), F.lit(FILES_OF_PACKAGE)) if "File" in df.columns else F.lit(0)
+    return source_ordered(df.repartition("Package", spread))
+
+
+def _csv(df: DataFrame, path: str, partition: bool = True) -> None:
+    if partition:
+        df = _by_package(df)
     writer = df.write.mode("overwrite").option("header", "true").option("quote", '"').option("escape", "\\")
-    writer = writer.option("quoteAll", str(quote_all).lower()).option("emptyValue", "").option("nullValue", "")
+    writer = writer.option("emptyValue", "").option("nullValue", "")
     (writer.partitionBy("Package") if partition else writer).csv(path)
 
 
+def _printed(df: DataFrame, path: str, columns: list[str]) -> None:
+    """Lines of printed fields under a plain header. The lines are whole: the
+    CSV writer adds the header and nothing else."""
+    line = printed.line([F.col(c) for c in columns]).alias(",".join(columns))
+    writer = _by_package(df).select("Package", line).write.mode("overwrite")
+    writer.option("header", "true").option("quote", "").option("sep", "\x01").partitionBy("Package").csv(path)
+
+
 def source_ordered(df: DataFrame) -> DataFrame:
     """Rows of a file stay together and in source order; a large package is
     written by several tasks instead of one."""
@@ -30,27 +42,27 @@ def source_ordered(df: DataFrame) -> DataFrame:
 
 
 def write_annotations(annotations: DataFrame, path: str) -> None:
-    """<path>/Package=<name>/*.csv, every field quoted, without Pos and Ord."""
-    _csv(annotations, path, schemas.TYPE_ANNOTATIONS.names)
+    """<path>/Package=<name>/*.csv, every field printed, without Pos and Ord."""
+    _printed(annotations, path, schemas.TYPE_ANNOTATIONS.names)
 
 
 def write_declarations(declarations: DataFrame, path: str) -> None:
-    _csv(declarations, path, schemas.TYPE_DECLARATIONS.names)
+    _printed(declarations, path, schemas.TYPE_DECLARATIONS.names)
 
 
 def write_analyzed(analyzed: DataFrame, path: str) -> None:
     """Per-package CSV without the nested summary, which CSV cannot hold."""
-    _csv(analyzed.drop("TypeVarsSummary"), path, quote_all=False)
+    _csv(analyzed.drop("TypeVarsSummary"), path)
 
 
 def write_summaries(summary: DataFrame, path: str) -> None:
-    _csv(summary, path, quote_all=False, partition="Package" in summary.columns)
+    _csv(summary, path, partition="Package" in summary.columns)
 
 
 def write_tables(tables: dict[str, DataFrame], path: str) -> None:
     """One folder per filtered table; Package stays a column."""
     for name, df in tables.items():
-        _csv(df.drop("TypeVarsSummary"), f"{path}/{name}", quote_all=False, partition=False)
+        _csv(df.drop("TypeVarsSummary"), f"{path}/{name}", partition=False)
 
 
 def write_report(rows: DataFrame, path: str) -> None:
