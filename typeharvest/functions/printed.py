@@ -48,28 +48,32 @@ def line(columns: list[Column]) -> Column:
 
 
 def _unescaped(field: Column) -> Column:
-    """The text of a field without escaped backslashes and quotes; null where an escape is unknown."""
+    """The text of a field; null where an escape is unknown."""
     parts = F.split(field, r"\\")
 
+    def restored(text: Column) -> Column:
+        """Before numbers become characters: those may be the stand-ins themselves."""
+        return F.replace(F.replace(text, F.lit(_BACKSLASH), F.lit("\\")), F.lit(_QUOTE), F.lit('"'))
+
     def plain(p: Column, i: Column) -> Column:
         hexed = F.regexp_extract(p, "^(?:x([0-9A-Fa-f]{1,2})|u([0-9A-Fa-f]{1,4})|U([0-9A-Fa-f]{1,8}))", 0)
         octal = F.regexp_extract(p, "^[0-7]{1,3}", 0)
         code = F.coalesce(F.when(hexed != "", F.substring(hexed, 2, 8)), F.conv(octal, 8, 16))
         # beyond ASCII, \x is a byte and no character; numbers beyond Unicode or for half a pair are none either
         value = F.conv(code, 16, 10).cast("long")
-        real = (value <= F.when(hexed.startswith("x") | (octal != ""), 0x7F).otherwise(0x10FFFF)) & ~value.between(0xD800, 0xDFFF)
+        known = (value <= F.when(hexed.startswith("x") | (octal != ""), 0x7F).otherwise(0x10FFFF)) & ~value.between(0xD800, 0xDFFF)
         # the byte order mark in front is dropped, one that is the text stays
-        char = F.when(real, F.decode(F.unhex(F.concat(F.lit("0000FEFF"), F.lpad(code, 8, "0"))), "utf-32"))
-        rest = lambda n: F.substring(p, n + 1, 1 << 30) if isinstance(n, int) else F.substr(p, n + 1)
-        out = F.when(i == 0, p)
+        char = F.when(known, F.decode(F.unhex(F.concat(F.lit("0000FEFF"), F.lpad(code, 8, "0"))), "utf-32"))
+        rest = lambda n: restored(F.substr(p, n + 1))
+        out = F.when(i == 0, restored(p))
         for c, name in NAMES.items():
-            out = out.when(p.startswith(name), F.concat(F.lit(c), rest(1)))
-        out = out.when(p.startswith("$") | p.startswith("'"), p)
+            out = out.when(p.startswith(name), F.concat(F.lit(c), rest(F.lit(1))))
+        out = out.when(p.startswith("$") | p.startswith("'"), restored(p))
         return out.when((hexed != "") | (octal != ""), F.concat(char, rest(F.greatest(F.length(hexed), F.length(octal)))))
 
     shown = F.transform(parts, plain)
     whole = F.when(~F.exists(shown, lambda s: s.isNull()), F.array_join(shown, ""))
-    return F.replace(F.replace(F.when(field.contains("\\"), whole).otherwise(field), F.lit(_BACKSLASH), F.lit("\\")), F.lit(_QUOTE), F.lit('"'))
+    return F.when(field.contains("\\"), whole).otherwise(restored(field))
 
 
 def parsed(text: Column, n: int) -> tuple[Column, Column]:
