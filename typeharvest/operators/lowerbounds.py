@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from typeharvest.functions import lexical, scanner
 from typeharvest.operators import marks as M
+from typeharvest.storage import stored
 
 KEY = M.FILE_KEY
 LB_WIDTH = 8
@@ -137,23 +138,63 @@ def exploded(census: DataFrame) -> DataFrame:
         *KEY, F.col("e.value").alias("value"), F.col("e.freq").alias("freq"))
 
 
-def package_census(packages: DataFrame, census: DataFrame) -> DataFrame:
-    """Every package that is listed or has files: whether it has sources, its
-    counters and bounds.
+#: what a row of ``_leveled`` adds up
+_SUMS = ("freq", "totalFilesNum", "failedFilesNum", "nonVacFilesNum")
 
-    A package without source files is *bad* and contributes zeros.
+
+def _leveled(census: DataFrame, levels: tuple[str, ...]) -> DataFrame:
+    """The census by level, grouped in one pass: (level, Package, File, value) with sums.
+
+    ``package``: the counters of each package under a null value, and its
+    values; ``corpus``: the values of all; ``file``: each file with bounds,
+    with its counts and entries. Tasks add up before the shuffle.
     """
-    counters = package_counters(census)
-    freqs = multiset_sum(exploded(census), ["Package"])
-    stats = freqs.groupBy("Package").agg(F.sum("freq").alias("lbs"), F.count("*").alias("lbsUnique"))
-    zero = F.lit(0).cast("bigint")
-    joined = packages.join(counters, "Package", "full").join(stats, "Package", "left")
+    none, zero = F.lit(None).cast("string"), F.lit(0).cast("bigint")
+    no_entries = F.lit(None).cast(census.schema["lbsFreq"].dataType)
+
+    def row(level: str, package: Column, file: Column, value: Column, sums: list[Column], counts: list[Column], entries: Column) -> Column:
+        named = [c.cast("bigint").alias(n) for n, c in zip((*_SUMS, "sub", "sup"), (*sums, *counts))]
+        return F.struct(F.lit(level).alias("level"), package.alias("Package"), file.alias("File"), value.alias("value"), *named, entries.alias("entries"))
+
+    package, has_bounds = F.col("Package"), F.coalesce(F.col("lbs") > 0, F.lit(False))
+    no_counts = [F.lit(None), F.lit(None)]
+    counters = [zero, F.lit(1), (F.col("status") == "error").cast("int"), has_bounds.cast("int")]
+    entries = F.coalesce("lbsFreq", F.array().cast(census.schema["lbsFreq"].dataType))
+
+    def values(level: str, package: Column) -> Column:
+        return F.transform(entries, lambda e: row(level, package, none, e["value"], [e["freq"], zero, zero, zero], no_counts, no_entries))
+
+    parts = {
+        "package": [F.array(row("package", package, none, none, counters, no_counts, no_entries)), values("package", package)],
+        "corpus": [values("corpus", none)],
+        "file": [F.when(has_bounds, F.array(row("file", package, F.col("File"), none, [F.col("lbs"), zero, zero, zero], [F.col("sub"), F.col("sup")], F.col("lbsFreq")))).otherwise(F.array())],
+    }
+    rows = census.select(F.explode(F.concat(*[c for level in levels for c in parts[level]])).alias("r")).select("r.*")
+    return rows.groupBy("level", "Package", "File", "value").agg(
+        *[F.sum(c).alias(c) for c in _SUMS], F.first("sub").alias("sub"), F.first("sup").alias("sup"), F.first("entries").alias("entries"))
+
+
+def _census_of(packages: DataFrame, grouped: DataFrame, *more: Column) -> DataFrame:
+    """Packages, listed or with files, from the rows of level ``package``."""
+    stats = grouped.filter("level = 'package'").groupBy("Package").agg(
+        *[F.sum(c).alias(c) for c in _SUMS[1:]], F.sum("freq").alias("lbs"), F.count("value").alias("lbsUnique"), *more)
+    joined = packages.join(stats, "Package", "full")
     with_files = F.col("totalFilesNum").isNotNull()
     has_src = F.coalesce("hasSrc", with_files) if "hasSrc" in packages.columns else with_files
+    kept = set(joined.columns) - {*packages.columns, *_SUMS, "lbs", "lbsUnique"}
     return joined.select(
         "Package", has_src.alias("hasSrc"),
-        *[F.coalesce(c, zero).alias(c) for c in
-          ["totalFilesNum", "failedFilesNum", "nonVacFilesNum", "lbs", "lbsUnique"]])
+        *[F.coalesce(c, F.lit(0).cast("bigint")).alias(c) for c in (*_SUMS[1:], "lbs", "lbsUnique")], *sorted(kept))
+
+
+def package_census(packages: DataFrame, census: DataFrame) -> DataFrame:
+    """Every package that is listed or has files: whether it has sources, its
+    counters and bounds.
+
+    A package without source files is *bad* and contributes zeros. The census
+    is read once.
+    """
+    return _census_of(packages, _leveled(census, ("package",)))
 
 
 def split_good_bad(packages: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -201,11 +242,15 @@ def report_rows(packages: DataFrame, census: DataFrame) -> DataFrame:
     """The report as rows (section, rank, Package, File, line): packages without
     sources, the ranked good ones with their files, totals, corpus values.
 
-    One row per package header, file block or corpus value: no block is ever
-    built for a whole corpus, and a package's values are rows of their own file.
+    The census is read once and grouped into a table of its levels, from which
+    the sections come. One row per package header, file block or corpus value:
+    no block is ever built for a whole corpus, and a package's values are rows
+    of their own file.
     """
-    counted = package_census(packages, census)
-    good = counted.filter("hasSrc and lbs > 0")
+    grouped = stored(_leveled(census, ("package", "corpus", "file")), "levels")
+    pair = F.when(F.col("value").isNotNull(), F.struct("value", "freq"))
+    counted = stored(_census_of(packages, grouped, F.collect_list(pair).alias("entries")), "packages")
+    good = counted.filter("hasSrc and lbs > 0").withColumn("rank", -interest(F.col("lbs"), F.col("lbsUnique")))
     line = lambda rank, text: F.struct(F.lit(rank).cast("bigint").alias("rank"), F.lit("").alias("Package"), text.alias("line"))
     # The report's wording
     failed = F.when(F.col("bad") == 0, "All packages processed successfully").otherwise(
@@ -215,32 +260,26 @@ def report_rows(packages: DataFrame, census: DataFrame) -> DataFrame:
     outcome = outcome.unionByName(counted.filter("not hasSrc").select(
         F.lit(1).cast("bigint").alias("rank"), "Package", F.col("Package").alias("line"))).select(
         F.lit(0).alias("section"), "rank", "Package", F.lit("").alias("File"), "line")
-    blocks = multiset_sum(exploded(census), ["Package"]).groupBy("Package").agg(
-        F.collect_list(F.struct("value", "freq")).alias("entries"))
-    headers = good.join(blocks, "Package").select(
-        F.lit(1).alias("section"), (-interest(F.col("lbs"), F.col("lbsUnique"))).alias("rank"), "Package",
-        F.lit("").alias("File"),
+    headers = good.select(
+        F.lit(1).alias("section"), "rank", "Package", F.lit("").alias("File"),
         F.concat(F.col("Package"), F.lit(": "), stat_block(F.col("lbsUnique"), F.col("lbs"), F.col("entries")),
                  F.lit("\nNon vacuous files: "), F.col("nonVacFilesNum").cast("string"), F.lit("/"),
                  F.col("totalFilesNum").cast("string")).alias("line"))
-    file_rows = census.filter("lbs > 0").join(
-        good.select("Package", (-interest(F.col("lbs"), F.col("lbsUnique"))).alias("rank")), "Package"
-    ).select(
+    file_rows = grouped.filter("level = 'file'").join(good.select("Package", "rank"), "Package").select(
         F.lit(1).alias("section"), "rank", "Package", "File",
         F.concat(F.lit("* "), F.when(F.length("File") >= LB_WIDTH, F.col("File")).otherwise(F.rpad("File", LB_WIDTH, " ")),
                  F.lit(" => "), text_stat(F.col("sub"), F.col("sup")), F.lit("\n"),
-                 stat_block(F.col("lbsUnique"), F.col("lbs"), F.col("lbsFreq"))).alias("line"))
-    values = multiset_sum(exploded(census), []).select(
+                 stat_block(F.size("entries"), F.col("freq"), F.col("entries"))).alias("line"))
+    corpus = grouped.filter("level = 'corpus'")
+    values = corpus.select(
         F.lit(3).alias("section"), (-F.col("freq")).alias("rank"), F.col("value").alias("Package"),
         F.lit("").alias("File"), freq_line(F.col("value"), F.col("freq")).alias("line"))
-    totals = multiset_sum(exploded(census), []).agg(
-        F.coalesce(F.sum("freq"), F.lit(0)).alias("lbs"), F.count("*").alias("u")).crossJoin(
-            good.agg(F.count("*").alias("n"))).select(
-        F.lit(2).alias("section"), F.lit(0).cast("bigint").alias("rank"), F.lit("").alias("Package"),
-        F.lit("").alias("File"),
-        F.concat(F.lit("Interesting packages: "), F.col("n").cast("string"),
-                 F.lit("\nLower bounds: "), F.col("lbs").cast("string"),
-                 F.lit("\nUnique lower bounds: "), F.col("u").cast("string")).alias("line"))
+    # packages with bounds, and the bounds of all, in one sum
+    counts = good.select(F.lit(1).alias("n"), F.lit(0).alias("u"), F.lit(0).cast("bigint").alias("lbs")).unionByName(
+        corpus.select(F.lit(0).alias("n"), F.lit(1).alias("u"), F.col("freq").alias("lbs")))
+    totals = counts.agg(*[F.coalesce(F.sum(c), F.lit(0)).cast("string").alias(c) for c in ("n", "u", "lbs")]).select(
+        F.lit(2).alias("section"), F.lit(0).cast("bigint").alias("rank"), F.lit("").alias("Package"), F.lit("").alias("File"),
+        F.concat(F.lit("Interesting packages: "), "n", F.lit("\nLower bounds: "), "lbs", F.lit("\nUnique lower bounds: "), "u").alias("line"))
     return (
         outcome.unionByName(headers).unionByName(file_rows).unionByName(totals).unionByName(values)
         .orderBy("section", "rank", "Package", "File")
