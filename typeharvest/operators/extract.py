@@ -218,6 +218,13 @@ def tables(found: DataFrame) -> Extracted:
     )
 
 
+def ranked(rows: DataFrame) -> DataFrame:
+    """Annotations or declarations with ``rank``, their place in their file from 1."""
+    place = [c for c in ("Pos", "Ord") if c in rows.columns]
+    rank = F.row_number().over(Window.partitionBy(*KEY).orderBy(*place))
+    return rows.withColumn("rank", rank.cast("bigint"))
+
+
 def file_log(found: DataFrame) -> DataFrame:
     """(Package, File, status): succ or fail; a file without tokens succeeds."""
     return found.groupBy(*KEY).agg(F.when(F.bool_or("failed"), "fail").otherwise("succ").alias("status"))

@@ -16,7 +16,8 @@ from typeharvest.functions.predicates import Predicate, PredicateRegistry
 from typeharvest.operators import analysis, extract, logs, lowerbounds, summary, typevars
 from typeharvest.plans import corpora as C
 from typeharvest.session import shuffle_width, tune
-from typeharvest.sources import readers
+from typeharvest.sources import readers, schemas, writers
+from typeharvest.storage import shared_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -41,7 +42,7 @@ def _ann_cte() -> str:
     flags = ", ".join(f"CAST({c} AS BIGINT) AS {c}" for c in C.FLAGS)
     return f"""ann AS (SELECT 'Pkg' || (l_partkey % 50) AS Package,
       'src/f' || l_orderkey || '_' || l_partkey || '_' || l_suppkey || '_' || l_linenumber || '.jl' AS File,
-      replace(txt, '~A', 'N' || (l_suppkey % 20)) AS TypeAnnotation, CAST(Error AS BIGINT) AS Error,
+      replace(txt, '~A', 'N' || l_orderkey) AS TypeAnnotation, CAST(Error AS BIGINT) AS Error,
       CAST(coalesce(W, 1) AS BIGINT) AS Warning, {flags}, CAST(VarCnt > 0 AS BIGINT) AS HasWhere
       FROM lineitem JOIN {t} ON tid = (l_orderkey * 7 + l_linenumber) % {len(C.ANNOTATIONS)})"""
 
@@ -49,10 +50,16 @@ def _ann_cte() -> str:
 def _code_cte() -> str:
     t = _values([(i, *c[:4]) for i, c in enumerate(C.CODE)], "t", ["tid", "txt", "sub", "sup", "status"])
     lb = _values([(i, v) for i, c in enumerate(C.CODE) for v in c[4]], "b", ["tid", "v"])
-    return f"""code AS (SELECT 'Pkg' || (o_custkey % 50) AS Package, 'src/f' || o_orderkey || '.jl' AS File, tid,
-      'C' || (o_custkey % 20) AS fill, CAST(sub AS BIGINT) AS sub, CAST(sup AS BIGINT) AS sup, status
+    times = f"(CASE WHEN status = 'error' THEN 1 ELSE o_orderkey % {C.REPEATS} + 1 END)"
+    return f"""code AS (SELECT 'Pkg' || (o_custkey % 50) AS Package, 'src/f' || o_orderkey || '.jl' AS File, tid, {times} AS times,
+      'C' || o_custkey AS fill, CAST(sub * {times} AS BIGINT) AS sub, CAST(sup * {times} AS BIGINT) AS sup, status
       FROM orders JOIN {t} ON tid = o_orderkey % {len(C.CODE)}),
-    lbs AS (SELECT Package, File, replace(v, '~A', fill) AS value FROM code JOIN {lb} USING (tid))"""
+    lbs AS (SELECT Package, File, replace(v, '~A', fill) AS value FROM code JOIN {lb} USING (tid), range(1, {C.REPEATS + 1}) r(k)
+      WHERE k <= times)"""
+
+
+def _key(prefix: str, number: str | Column) -> Column:
+    return F.concat(F.lit(prefix), (F.col(number) if isinstance(number, str) else number).cast("string"))
 
 
 def _big(*names: str) -> list[Column]:
@@ -80,7 +87,8 @@ def _sources(spark: SparkSession, sf: str) -> extract.Extracted:
 
 def _decls(spark: SparkSession, sf: str) -> DataFrame:
     tune(spark)
-    return analysis.analyze_declarations(C.declarations(spark, sf))
+    # one split of the table is more work than one task should have
+    return analysis.analyze_declarations(C.declarations(spark, sf).repartition(shuffle_width(spark), "id"))
 
 
 def _rounded(df: DataFrame) -> DataFrame:
@@ -249,12 +257,12 @@ def _catalog() -> dict[str, tuple[Query, str | None]]:
 
     q["tv8_tv9_variable_summaries"] = (
         variables,
-        f"""SELECT p_partkey AS id, CAST(k AS BIGINT) AS ord, name, replace(lb, '~A', 'N' || (p_size % 1000)) AS lb,
-        replace(ub, '~A', 'N' || (p_size % 1000)) AS ub, occurrs, context FROM part JOIN
+        f"""SELECT p_partkey AS id, CAST(k AS BIGINT) AS ord, name, replace(lb, '~A', 'N' || p_partkey) AS lb,
+        replace(ub, '~A', 'N' || p_partkey) AS ub, occurrs, context FROM part JOIN
         {_values(wide, 't', ['tid', 'name', 'lb', 'ub', 'occurrs', 'context', 'k'])} ON tid = p_partkey % {len(C.SUMMARIES)}""")
     q["tv1_tv2_unrolled_text"] = (
         lambda s, d: typevars.summarize(C.summary_annotations(s, d)).select("id", "UnrolledTypeAnnotation"),
-        f"""SELECT p_partkey AS id, replace(txt, '~A', 'N' || (p_size % 1000)) AS UnrolledTypeAnnotation FROM part JOIN
+        f"""SELECT p_partkey AS id, replace(txt, '~A', 'N' || p_partkey) AS UnrolledTypeAnnotation FROM part JOIN
         {_values([(i, u) for i, (_, u, _) in enumerate(C.SUMMARIES)], 't', ['tid', 'txt'])}
         ON tid = p_partkey % {len(C.SUMMARIES)}""")
     q["tv12_unreadable_annotations"] = (
@@ -320,7 +328,7 @@ def _catalog() -> dict[str, tuple[Query, str | None]]:
 
     # --- declarations ----------------------------------------------------
     rows = [(i, t, sup, td, ts, *(f or (None,) * 6), 0 if f else 1) for i, (t, sup, td, ts, f) in enumerate(C.DECLARATIONS)]
-    fill = lambda c, a: f"replace({c}, '~A', 'D' || (c_custkey % 30)) AS {a}"
+    fill = lambda c, a: f"replace({c}, '~A', 'D' || c_custkey) AS {a}"
     dec = f"""WITH dec AS (SELECT 'Pkg' || ((c_custkey * 7) % 40) AS Package, c_custkey AS id,
       {fill('ptd', 'ProcessedTypeDecl')}, {fill('pts', 'ProcessedSuper')}, CAST(Error AS BIGINT) AS Error,
       CAST(Error AS BIGINT) AS Warning, {", ".join(f"CAST({c} AS BIGINT) AS {c}" for c in C.DECL_FLAGS)}
@@ -347,7 +355,7 @@ def _catalog() -> dict[str, tuple[Query, str | None]]:
         {flag(['TyDeclUseSiteVariance', 'SuperUseSiteVariance'])} AS pkgusesite FROM dec GROUP BY Package""")
 
     # --- extraction ------------------------------------------------------
-    fill = lambda c: f"replace({c}, '~A', 'P' || (p_size % 1000))"
+    fill = lambda c: f"replace({c}, '~A', 'P' || p_partkey)"
     src = "SELECT 'Pkg' || (p_size % 50) AS Package, 'src/p' || p_partkey || '.jl' AS File"
     on = f"ON tid = p_partkey % {len(C.SOURCES)}"
     anns = [(i, *a) for i, (_, rows_, _) in enumerate(C.SOURCES) for a in rows_]
@@ -360,6 +368,18 @@ def _catalog() -> dict[str, tuple[Query, str | None]]:
         lambda s, d: _sources(s, d).declarations.select("Package", "File", "Name", "Kind", "TypeDeclaration", "Supertype"),
         f"""{src}, n AS Name, k AS Kind, {fill('t')} AS TypeDeclaration, {fill('u')} AS Supertype FROM part
         JOIN {_values(decs, 'x', ['tid', 'n', 'k', 't', 'u'])} {on}""")
+    order = {}
+    for i, (_, rows_, _) in enumerate(C.SOURCES):
+        order[i] = [(i, k, *r) for k, r in enumerate(rows_, 1)]
+    q["ex14_source_order"] = (
+        lambda s, d: extract.ranked(_sources(s, d).annotations).select("Package", "File", "rank", "Function", "Kind", "TypeAnnotation"),
+        f"""{src}, CAST(r AS BIGINT) AS rank, f AS "Function", k AS Kind, {fill('t')} AS TypeAnnotation FROM part
+        JOIN {_values([r for rows_ in order.values() for r in rows_], 'x', ['tid', 'r', 'f', 'k', 't'])} {on}""")
+    errors = [(i, *e) for i, (text, _, _) in enumerate(C.SOURCES) for start, es in C.ERRORS.items() if text.startswith(start) for e in es]
+    q["ex17_extract_errors"] = (
+        lambda s, d: _sources(s, d).errors.select("Package", "File", F.col("Pos").cast("bigint").alias("Pos"), "kind", "snippet"),
+        f"""{src}, CAST(pos + fills * length('P' || p_partkey) AS BIGINT) AS Pos, kind, {fill('snippet')} AS snippet FROM part
+        JOIN {_values(errors, 'x', ['tid', 'pos', 'fills', 'kind', 'snippet'])} {on}""")
     broken = [i for i, c in enumerate(C.SOURCES) if c[0].startswith("broken")][0]
     q["ex16_file_log"] = (
         lambda s, d: extract.log_by_package(_sources(s, d).file_log),
@@ -381,9 +401,92 @@ def _catalog() -> dict[str, tuple[Query, str | None]]:
     q["a13_distinct_document_sources"] = (
         lambda s, d: logs.sorted_distinct(C.read(s, d, "documents"), "source"),
         "SELECT DISTINCT source FROM documents")
-    q["o4_first_packages"] = (
-        lambda s, d: C.read(s, d, "supplier").orderBy("s_suppkey").limit(10).select("s_suppkey", "s_name"),
-        "SELECT s_suppkey, s_name FROM supplier ORDER BY s_suppkey LIMIT 10")
+
+    # tables of the source written as files, and read by the sources
+    def listed(s: SparkSession, d: str) -> DataFrame:
+        path = shared_path(s, "package_list")
+        C.read(s, d, "supplier").orderBy("s_suppkey").select(
+            F.concat_ws(",", "s_name", "s_suppkey", F.concat(F.lit("0."), F.col("s_nationkey")))).write.text(path)
+        return readers.package_list(s, path, first=10).select(F.col("uuid").cast("bigint").alias("s_suppkey"), F.col("name").alias("s_name"))
+
+    q["o4_first_packages"] = (listed, "SELECT s_suppkey, s_name FROM supplier ORDER BY s_suppkey LIMIT 10")
+
+    def numbered_list(s: SparkSession, d: str) -> DataFrame:
+        path = shared_path(s, "package_list")
+        rows = C.read(s, d, "part").select(
+            F.col("p_brand").alias("B"), "p_partkey", F.concat_ws(",", _key("P", "p_partkey"), "p_brand", "p_size").alias("value"))
+        # one list for each brand
+        rows.repartition("B").sortWithinPartitions("B", "p_partkey").select("B", "value").write.partitionBy("B").text(path)
+        return readers.package_list(s, path).select("name", "uuid", "version", F.col("line").cast("bigint").alias("line"))
+
+    q["src7_package_list"] = (
+        numbered_list,
+        """SELECT 'P' || p_partkey AS name, p_brand AS uuid, CAST(p_size AS VARCHAR) AS version,
+        row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS line FROM part""")
+
+    def folder_texts(s: SparkSession, d: str) -> DataFrame:
+        path = shared_path(s, "folders")
+        rows = C.read(s, d, "customer").select(
+            _key("Pkg", "c_nationkey").alias("Package"), F.col("c_mktsegment").alias("Part"), F.concat(F.lit("x"), "c_custkey").alias("value"))
+        rows.write.partitionBy("Package", "Part").text(path)
+        files = readers.code_files(s, path, suffix=".txt")
+        newlines = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit("")))
+        return files.select("Package", F.substring_index("File", "/", 1).alias("Folder"), "ReadStatus", newlines.alias("n")).groupBy(
+            "Package", "Folder", "ReadStatus").agg(F.sum("n").cast("bigint").alias("lines"))
+
+    q["src1_src4_folder_texts"] = (
+        folder_texts,
+        """SELECT 'Package=Pkg' || c_nationkey AS Package, 'Part=' || c_mktsegment AS Folder, 'ok' AS ReadStatus, count(*) AS lines
+        FROM customer GROUP BY 1, 2""")
+
+    def package_folders(s: SparkSession, d: str) -> DataFrame:
+        path = shared_path(s, "folders")
+        rows = C.read(s, d, "supplier").select(_key("Pkg", "s_suppkey").alias("P"), F.when(F.col("s_suppkey") % 3 == 0, "src").otherwise("doc").alias("S"))
+        rows.select("P", "S", F.lit("x").alias("value")).repartition("P").write.partitionBy("P", "S").text(path)
+        found = readers.package_dirs(s, path, src="S=src")
+        return found.groupBy("hasSrc").agg(F.count("*").alias("packages"))
+
+    q["src1_package_folders"] = (
+        package_folders, "SELECT s_suppkey % 3 = 0 AS hasSrc, count(DISTINCT s_suppkey) AS packages FROM supplier GROUP BY 1")
+
+    def printed_table(s: SparkSession, d: str) -> DataFrame:
+        path = shared_path(s, "printed")
+        awkward = F.concat(F.lit('Val{"'), F.col("c_custkey").cast("string"), F.lit('"} \\ $x\n\t'), "c_name")
+        rows = C.read(s, d, "customer").select(
+            _key("Pkg", "c_nationkey").alias("Package"), _key("src/f", "c_custkey").alias("File"), F.col("c_custkey").alias("Pos"),
+            F.lit(0).alias("Ord"), F.col("c_mktsegment").alias("Function"), F.lit("mtsig").alias("Kind"), awkward.alias("TypeAnnotation"))
+        writers.write_annotations(rows, path)
+        return readers.type_annotations(s, path, "*.csv")
+
+    q["snk1_src5_printed_table"] = (
+        printed_table,
+        """SELECT 'Pkg' || c_nationkey AS Package, 'src/f' || c_custkey AS File, c_mktsegment AS "Function", 'mtsig' AS Kind,
+        'Val{"' || c_custkey || '"} ' || chr(92) || ' $x' || chr(10) || chr(9) || c_name AS TypeAnnotation FROM customer""")
+
+    def damaged(s: SparkSession, d: str) -> DataFrame:
+        path = shared_path(s, "damaged")
+        good = F.concat(F.lit('"src/f'), F.col("o_orderkey").cast("string"), F.lit('.jl","f","mtsig","Tuple{}"'))
+        n = F.col("o_orderkey") % 5
+        line = (F.when(n == 1, F.concat(good, F.lit(',"more"'))).when(n == 2, F.replace(good, F.lit('"f"'), F.lit("f")))
+                .when(n == 3, F.replace(good, F.lit("Tuple{}"), F.lit("Tuple{}\\q"))).when(n == 4, F.replace(good, F.lit("Tuple"), F.lit("Tu\tple"))).otherwise(good))
+        C.read(s, d, "orders").select(_key("Pkg", F.col("o_custkey") % 20).alias("Package"), line.alias("value")).write.partitionBy("Package").text(path)
+        read = readers.type_annotations(s, path, "*.txt").select("Package", F.lit("ok").alias("kind"))
+        errors = readers.stored_errors(s, path, schemas.TYPE_ANNOTATIONS, "*.txt").select("Package", "kind")
+        return read.unionByName(errors).groupBy("Package", "kind").agg(F.count("*").alias("n"))
+
+    q["src5_stored_errors"] = (
+        damaged,
+        """SELECT 'Pkg' || (o_custkey % 20) AS Package, CASE o_orderkey % 5 WHEN 1 THEN 'fields' WHEN 2 THEN 'quotes' WHEN 3 THEN 'escape'
+        WHEN 4 THEN 'control' ELSE 'ok' END AS kind, count(*) AS n FROM orders GROUP BY 1, 2""")
+
+    def isolated(s: SparkSession, d: str) -> DataFrame:
+        tune(s)
+        registry = PredicateRegistry().register(Predicate("SecondOpen", lambda tv: F.element_at(tv, 2)["lb"] == "Union{}"))
+        df = analysis.analyze_annotations(C.annotations(s, d), registry, dedupe=True)
+        return df.groupBy("Package").agg(F.count("SecondOpen").alias("known"), F.sum(F.col("VarCnt").cast("bigint")).alias("VarCnt"))
+
+    q["p11_failing_predicate"] = (
+        isolated, f"{ann} SELECT Package, count(*) FILTER (VarCnt > 1) AS known, CAST(sum(VarCnt) AS BIGINT) AS VarCnt FROM ann GROUP BY Package")
     return q
 
 

@@ -36,7 +36,7 @@ def _decoded(path: Column) -> Column:
     return F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
 
 
-def code_files(spark: SparkSession, root: str, src_only: bool = False) -> DataFrame:
+def code_files(spark: SparkSession, root: str, src_only: bool = False, suffix: str = SUFFIX) -> DataFrame:
     """(Package, File, text, ReadStatus, ReadError) of every source file below
     ``root``/<package>/.
 
@@ -48,10 +48,10 @@ def code_files(spark: SparkSession, root: str, src_only: bool = False) -> DataFr
     below = qualified(spark, root)
     if folders.reachable(spark, below):
         found = folders.walk(spark, below, SRC if src_only else None)
-        names = found.filter((F.col("kind") == "file") & F.col("rel").endswith(SUFFIX))
+        names = found.filter((F.col("kind") == "file") & F.col("rel").endswith(suffix))
         raw = folders.read_texts(names.filter(F.col("rel").contains("/")), below)
     else:
-        raw = _indexed(spark, root, below)
+        raw = _indexed(spark, root, below, suffix)
     df = raw.filter(F.col("rel").contains("/")).select(
         F.substring_index("rel", "/", 1).alias("Package"),
         F.expr("substring(rel, instr(rel, '/') + 1)").alias("File"),
@@ -60,10 +60,10 @@ def code_files(spark: SparkSession, root: str, src_only: bool = False) -> DataFr
     return df.filter(F.col("File").startswith(SRC + "/")) if src_only else df
 
 
-def _indexed(spark: SparkSession, root: str, below: str) -> DataFrame:
+def _indexed(spark: SparkSession, root: str, below: str, suffix: str) -> DataFrame:
     """Files by Spark's own reader. It gives no row for an empty or unreadable
     file: those are what its index lists beyond, told apart by their length."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", f"*{SUFFIX}").option("recursiveFileLookup", "true")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", f"*{suffix}").option("recursiveFileLookup", "true")
     reader = files.option("ignoreCorruptFiles", "true").option("ignoreMissingFiles", "true").load(root)
     raw = reader.select(_under(below, F.col("path")).alias("rel"), "content")
     listed = spark.createDataFrame([(p,) for p in reader.inputFiles()], "path string").select(
@@ -83,18 +83,18 @@ def _indexed(spark: SparkSession, root: str, below: str) -> DataFrame:
         "ReadStatus": status, "ReadError": F.when(F.col("content").isNull(), F.lit("not readable"))})
 
 
-def package_dirs(spark: SparkSession, root: str) -> DataFrame:
-    """(Package, hasSrc): the folders below ``root``, and whether they have a folder src."""
+def package_dirs(spark: SparkSession, root: str, src: str = SRC) -> DataFrame:
+    """(Package, hasSrc): the folders below ``root``, and whether they have a folder ``src``."""
     below = qualified(spark, root)
     if folders.reachable(spark, below):
-        found = folders.walk(spark, below, SRC).filter("kind in ('folder', 'failed', 'link')").select(
+        found = folders.walk(spark, below, src).filter("kind in ('folder', 'failed', 'link')").select(
             F.split("rel", "/").alias("parts")).filter(F.col("parts")[0] != "")
         return found.groupBy(F.col("parts")[0].alias("Package")).agg(
-            F.bool_or(F.coalesce(F.get("parts", F.lit(1)) == SRC, F.lit(False))).alias("hasSrc"))
+            F.bool_or(F.coalesce(F.get("parts", F.lit(1)) == src, F.lit(False))).alias("hasSrc"))
     path = spark._jvm.org.apache.hadoop.fs.Path(root)
     store = path.getFileSystem(spark._jsc.hadoopConfiguration())
     is_dir = lambda *names: store.exists(p := spark._jvm.org.apache.hadoop.fs.Path(*names)) and store.getFileStatus(p).isDirectory()
-    rows = [(s.getPath().getName(), is_dir(s.getPath(), SRC)) for s in store.listStatus(path) if s.isDirectory()]
+    rows = [(s.getPath().getName(), is_dir(s.getPath(), src)) for s in store.listStatus(path) if s.isDirectory()]
     return spark.createDataFrame(rows, "Package string, hasSrc boolean")
 
 
