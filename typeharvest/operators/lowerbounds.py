@@ -231,8 +231,7 @@ def text_stat(sub: Column, sup: Column) -> Column:
 
 def stat_block(unique: Column, lbs: Column, entries: Column) -> Column:
     """``{ unique/lbs: u/n, ... }`` of an array of (freq desc, value) entries."""
-    ordered = F.array_sort(entries, lambda a, b: F.when(a["freq"] != b["freq"], F.signum(b["freq"] - a["freq"]).cast("int"))
-                           .when(a["value"] < b["value"], -1).when(a["value"] > b["value"], 1).otherwise(0))
+    ordered = F.sort_array(F.transform(entries, lambda e: F.struct((-e["freq"]).alias("order"), e["value"].alias("value"), e["freq"].alias("freq"))))
     return F.concat(
         F.lit("{ unique/lbs: "), unique.cast("string"), F.lit("/"), lbs.cast("string"), F.lit(",\n  "),
         F.array_join(F.transform(ordered, lambda e: freq_line(e["value"], e["freq"])), ", "), F.lit("\n}"))

@@ -216,7 +216,7 @@ def _catalog() -> dict[str, tuple[Query, str | None]]:
         UNION ALL SELECT 2, 0, '', '', 'Interesting packages: ' || (SELECT count(*) FROM pl) || chr(10) || 'Lower bounds: '
           || count(*) || chr(10) || 'Unique lower bounds: ' || count(DISTINCT value) FROM lbs
         UNION ALL SELECT 3, CAST(-count(*) AS BIGINT), value, '', (CASE WHEN length(value) >= 8 THEN value ELSE
-          rpad(value, 8, ' ') END) || ' => ' || count(*) FROM lbs GROUP BY value""".replace("{{", "{").replace("}}", "}"))
+          rpad(value, 8, ' ') END) || ' => ' || count(*) FROM lbs GROUP BY value""")
     q["a1_multiset_union"] = (
         lambda s, d: lowerbounds.multiset_sum(
             lowerbounds.frequencies(C.read(s, d, "part").select(F.col("p_type").alias("value"))).unionByName(
