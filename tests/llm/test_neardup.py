@@ -1,6 +1,9 @@
 import random
 from collections import defaultdict
 
+import numpy as np
+import pytest
+
 from typeharvest.llm import neardup, queries
 
 
@@ -54,14 +57,49 @@ def test_against_brute_force(frame, monkeypatch):
     assert got == brute(rows)
 
 
-def test_blocks_of_nodes_that_stay_large(frame, monkeypatch):
-    monkeypatch.setattr(neardup, "DEPTH", 1)
-    monkeypatch.setattr(neardup, "SMALL", 4)
+@pytest.mark.parametrize("depth, small, large, hubs", [(1, 4, 4096, 8), (1, 4, 10, 0), (2, 4, 30, 2), (7, 3, 12, 1)])
+def test_nodes_that_stay_large(frame, monkeypatch, depth, small, large, hubs):
+    for name, value in (("DEPTH", depth), ("SMALL", small), ("LARGE", large), ("HUBS", hubs)):
+        monkeypatch.setattr(neardup, name, value)
+    neardup.plan.cache_clear()
     rows = corpus(random.Random(3))
     got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in neardup.near_duplicates(frame(rows)).collect()}
     assert got == brute(rows)
 
 
+@pytest.mark.parametrize("low", [16, 48])
+def test_sets_larger_than_their_sample(frame, monkeypatch, low):
+    monkeypatch.setattr(neardup, "LOW", low)  # most sets are samples here, and some pairs fail on their full sets
+    neardup.plan.cache_clear()
+    rows = corpus(random.Random(11))
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in neardup.near_duplicates(frame(rows)).collect()}
+    neardup.plan.cache_clear()
+    assert got == brute(rows)
+
+
+def test_samples_estimate_like_sets():
+    rnd = np.random.default_rng(5)
+    sets = [np.unique(rnd.integers(0, 2**32, n, dtype=np.uint64).astype(np.uint32)) for n in (40, 500, 900)]
+    sets += [np.unique(np.concatenate([s[: len(s) * 9 // 10], rnd.integers(0, 2**32, len(s) // 20, dtype=np.uint64).astype(np.uint32)])) for s in sets]
+    lows, sizes = [s[:100] for s in sets], np.array([len(s) for s in sets])
+    node = neardup._Node(np.arange(6), sizes, np.zeros((6, neardup.TOKENS), np.uint32), lows, 85, 0.75, True)
+    node.compare(at := np.arange(6), at)
+    for i in range(6):
+        for j in range(i + 1, 6):
+            reach = min(2**32 if len(sets[k]) <= 100 else sets[k][99] for k in (i, j))
+            x, y = (set(sets[k][sets[k] <= reach].tolist()) for k in (i, j))
+            share = len(x & y) / len(x | y)
+            assert ((i, j) in node.found) == (share >= (0.85 if sizes[i] <= 100 and sizes[j] <= 100 else 0.75))
+    assert (0, 3) in node.found and (1, 4) in node.found
+
+
+def test_clashing_columns_stay(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f", 5, "x", 7), (2, "a b c d e f", 6, "y", 8), (1, "a b c d e f", 9, "z", 1)], "doc_id long, text string, _kept int, _rows string, _rank int")
+    kept = neardup.one_of_each(docs)
+    assert kept.columns == docs.columns
+    assert [(r.doc_id, r._kept in (5, 9)) for r in kept.collect()] == [(1, True)]
+
+
 def test_repeated_and_null_ids(frame):
     a, b = "one two three four five six", "seven eight nine ten eleven twelve"
     rows = neardup.near_duplicates(frame([(1, a), (2, a), (2, b), (3, b), (4, "other words that stand alone here"), (None, a), (4, "other words that stand alone here")])).collect()

@@ -1,18 +1,23 @@
-"""Near-duplicates by a chosen-path similarity join.
+"""Near-duplicates by a chosen-path set similarity join.
 
 Documents are sets of word shingles. Equal sets are one item, whatever their number. In each of several independent trees an
 item goes down the branches of selected minwise tokens: a node's items share the tokens on its path. Nodes of one item are
-dropped. Larger nodes branch on one or two more minwise tokens, so that a similar pair is expected to stay together in
-more than one child; small ones are compared exhaustively. The first FIRST trees go before: their small nodes give the
-links that join parts of them, their large nodes compare each item with two pivots. Links are confirmed on the full sets
-and joined to components, and a node whose items are all in one component needs no further work: so a group of near
-copies is settled by its pivots, not by its pairs. A node that stays large down to DEPTH is compared in blocks. Nodes and
-blocks are compared twice: first for the links that join parts of them, then for all that is still open. The only pairs
-that can be missed are those that separate in every tree, or whose tokens differ far more than their sets. plan() takes so
-many trees that, by the branch rule and the spread of the tokens, it is at most MISSED of the pairs at the least
-similarity, though their nodes stay large down to DEPTH.
-
-Each level is a few joins over written tables; neither items nor links reach the driver.
+dropped. A node of up to LARGE items is one group of a task, which goes on branching there: each step takes one more minwise
+token, or two, so that a similar pair is expected to stay together in more than one child. Nodes of up to SMALL items are
+compared exhaustively, by one product of their items' low hashes. Larger nodes branch on by joins of written tables.
+
+Before a large node branches, its items are compared with the few that lie nearest to its middle: that settles a group of near
+copies by its middle, not by its pairs. Only links that join two parts of a node are passed on, the most similar first, so a
+node gives fewer links than it has items; parts whose items are all linked are not looked at again. The low hashes of an item
+are its whole set, if that has no more than LOW, and a sample otherwise. Links are confirmed on the full sets. Where one fails,
+the node is gone through again for all pairs that are still open. Links are joined to components; the first FIRST trees go
+before, and a node whose items are all in one component needs no further work.
+
+The only pairs that can be missed are those that separate in every tree, or whose low hashes differ far more than their sets.
+plan() takes so many trees that, by the branch rule and the spread of the tokens, it is at most MISSED of the pairs at the least
+similarity, though their nodes stay large down to DEPTH. Nodes that stay larger than LARGE even there are compared chunk by chunk.
+
+Neither items nor links reach the driver. Spent tables are deleted.
 
 Null or empty text: no shingles, linked with nothing. Null ids: component null, kept. Rows of one id count as one document
 (linked with all that any of them is linked with). An empty table: no rows. Other columns are ignored.
@@ -31,38 +36,41 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import RollingHash, mix, n_partitions, ship, whole_text, written
+from .common import RollingHash, discard, mix, n_partitions, ship, unused, whole_text, written
 
-WORDS, DEPTH = 5, 6
+WORDS, DEPTH = 5, 7
 #: Share of the pairs at the least similarity that may be missed.
 MISSED = 1e-4
 #: Trees of the first batch; what it links need not be compared in the others.
 FIRST = 3
-#: Minwise tokens of an item, most items of a small node, share of nodes with two branches.
-TOKENS, SMALL, TWO = 128, 24, 0.7
-#: Items of a block of a large node, in small nodes.
-BLOCK = 8
+#: Minwise tokens and low hashes of an item, share of nodes with two branches.
+TOKENS, LOW, TWO = 96, 256, 0.7
+#: Most items of a node that is compared exhaustively, and of one that is a task's; items in its middle that all are compared with.
+SMALL, LARGE, HUBS = 256, 4096, 8
 
 _RNG = np.random.Generator(np.random.PCG64(977))
 _FACTORS = _RNG.integers(1, 2**31, TOKENS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _MASKS = _RNG.integers(0, 2**32, TOKENS, dtype=np.uint32)
 
 
+def _binomial(n: int, p: float) -> np.ndarray:
+    k = np.arange(n + 1)
+    ways = np.array([lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) for i in k])
+    return np.exp(ways + k * np.log(p) + (n - k) * np.log1p(-p))
+
+
 @cache
 def plan(percent: int) -> tuple[int, float]:
-    """(trees, least share of equal tokens of a compared pair) by which at most MISSED of the pairs that are `percent` similar are missed. An error where no number of trees up to TOKENS does it."""
-    shared = np.arange(TOKENS + 1)
+    """(trees, least similarity of samples of a pair that is confirmed) by which at most MISSED of the pairs that are `percent` similar are missed. An error where no number of trees up to TOKENS does it."""
     similar = min(max(percent / 100, 1e-9), 1 - 1e-9)
-    ways = np.array([lgamma(TOKENS + 1) - lgamma(k + 1) - lgamma(TOKENS - k + 1) for k in shared])
-    weight = np.exp(ways + shared * np.log(similar) + (TOKENS - shared) * np.log1p(-similar))
-    least = int(np.argmax(np.cumsum(weight) > MISSED / 4))
-    equal = shared / TOKENS
+    weight, equal = _binomial(TOKENS, similar), np.arange(TOKENS + 1) / TOKENS
+    least = int(np.argmax(np.cumsum(_binomial(LOW, similar)) > MISSED / 4))
     together = np.ones(TOKENS + 1)  # in some node of the last level, by the share of equal tokens
     for _ in range(DEPTH - 1):
         together = 1 - (1 - equal * together) * (1 - TWO * equal * together)
     for trees in range(1, TOKENS + 1):
-        if weight[:least].sum() + (weight * (1 - equal * together) ** trees)[least:].sum() <= MISSED:
-            return trees, least / TOKENS
+        if MISSED / 4 + (weight * (1 - equal * together) ** trees).sum() <= MISSED:
+            return trees, least / LOW
     raise ValueError(f"{percent} in a hundred is too little for {TOKENS} tokens")
 
 
@@ -93,89 +101,161 @@ def minwise(hashes: np.ndarray) -> np.ndarray:
 def _sketch(docs: DataFrame, words: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sizes, keys, tokens = [], [], []
+            rows = []
             for t in b.column("text"):
                 s = shingles(t.as_py(), words)
-                sizes.append(len(s))
-                keys.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
-                tokens.append(minwise(s).tobytes() if len(s) else None)
-            yield pa.record_batch([b.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(tokens, pa.binary())], names=["doc_id", "n_shingles", "set_key", "tokens"])
+                if len(s):
+                    rows.append((len(s), xxhash.xxh3_128_digest(s.tobytes()), minwise(s).tobytes(), np.unique((s[:LOW] >> np.uint64(32)).astype(np.uint32)).tobytes()))
+                else:
+                    rows.append((0, None, None, None))
+            n, key, tokens, low = zip(*rows) if rows else ((),) * 4
+            yield pa.record_batch([b.column("doc_id"), b.column("text"), pa.array(n, pa.int64()), *(pa.array(x, pa.binary()) for x in (key, tokens, low))], names=["doc_id", "text", "n_shingles", "set_key", "tokens", "low"])
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, set_key binary, tokens binary")
+    return docs.mapInArrow(run, "doc_id long, text string, n_shingles long, set_key binary, tokens binary, low binary")
+
+
+def _tokens(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint32).reshape(len(column), TOKENS)
 
 
 def _first_paths(items: DataFrame, trees: range) -> DataFrame:
-    """(path, id): the first branch of each item in each tree."""
+    """(path, item): the first branch of each item in each tree."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chosen = np.array([t * 37 % TOKENS for t in trees])
         salt = np.array(trees, dtype=np.uint64) << np.uint64(32)
         for b in batches:
-            tokens = np.frombuffer(b"".join(b.column("tokens").to_pylist()), dtype=np.uint32).reshape(b.num_rows, TOKENS)
-            paths = mix(tokens[:, chosen].astype(np.uint64) + salt + np.uint64(1 << 60))
-            yield pa.record_batch([pa.array(paths.ravel().view(np.int64)), pa.array(np.repeat(b.column("id").to_numpy(), len(chosen)))], names=["path", "id"])
+            paths = mix(_tokens(b.column("tokens"))[:, chosen].astype(np.uint64) + salt + np.uint64(1 << 60))
+            yield pa.record_batch([pa.array(paths.ravel().view(np.int64)), pa.array(np.repeat(b.column("item").to_numpy(), len(chosen)))], names=["path", "item"])
+
+    return items.select("item", "tokens").mapInArrow(run, "path long, item long")
 
-    return items.mapInArrow(run, "path long, id long")
+
+def _children(path: np.ndarray, tokens: np.ndarray, depth: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(rows, their paths) of the first child, and of the second where there is one."""
+    for child in (0, 1):
+        at = mix(path + np.uint64(depth * 2 + child + 1))
+        rows = np.arange(len(path)) if child == 0 else np.flatnonzero((at >> np.uint64(40)) < np.uint64(int(TWO * 2**24)))
+        token = tokens[rows, (at[rows] % np.uint64(TOKENS)).astype(np.int64)]
+        yield rows, mix(at[rows] ^ mix(token.astype(np.uint64)))
 
 
 def _branch(members: DataFrame, depth: int) -> DataFrame:
-    """(path, id) of the children; members: (path, id, tokens)."""
+    """(path, item) of the children; members: (path, item, tokens)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            path = b.column("path").to_numpy().view(np.uint64)
-            tokens = np.frombuffer(b"".join(b.column("tokens").to_pylist()), dtype=np.uint32).reshape(b.num_rows, TOKENS)
-            rows = np.arange(b.num_rows)
-            for child in (0, 1):
-                at = mix(path + np.uint64(depth * 2 + child + 1))
-                own = rows if child == 0 else rows[(at >> np.uint64(40)) < np.uint64(int(TWO * 2**24))]
-                if len(own):
-                    token = tokens[own, (at[own] % np.uint64(TOKENS)).astype(np.int64)]
-                    yield pa.record_batch([pa.array(mix(at[own] ^ mix(token.astype(np.uint64))).view(np.int64)), pa.array(b.column("id").to_numpy()[own])], names=["path", "id"])
-
-    return members.mapInArrow(run, "path long, id long")
-
-
-def _compare(members: DataFrame, least: float, forest: bool) -> DataFrame:
-    """(a, b) of similar items in nodes that lie together and in order; members: (path, side, id, component, tokens). Items of one component are not compared, nor are those of one side unless it is null. forest: only links that join parts of a node."""
-
-    def node(ids: np.ndarray, parts: np.ndarray, sides: list, tokens: np.ndarray) -> list[tuple[int, int]]:
-        n, found = len(ids), []
-        for i in range(n - 1):
-            same = (tokens[i + 1 :] == tokens[i]).mean(axis=1)
-            for j in np.flatnonzero((same >= least) & (parts[i + 1 :] != parts[i])).tolist():
-                if sides[i] is None or sides[i] != sides[i + 1 + j]:
-                    found.append((-float(same[j]), int(min(ids[i], ids[i + 1 + j])), int(max(ids[i], ids[i + 1 + j])), int(parts[i]), int(parts[i + 1 + j])))
-        if not forest:
-            return [(a, b) for _, a, b, _, _ in found]
-        up: dict[int, int] = {}
-
-        def root(x: int) -> int:
-            while up.get(x, x) != x:
-                x = up[x]
-            return x
-
-        out = []
-        for _, a, b, p, q in sorted(found):
-            p, q = root(p), root(q)
+            if b.num_rows:
+                for rows, paths in _children(b.column("path").to_numpy().view(np.uint64), _tokens(b.column("tokens")), depth):
+                    yield pa.record_batch([pa.array(paths.view(np.int64)), pa.array(b.column("item").to_numpy()[rows])], names=["path", "item"])
+
+    return members.mapInArrow(run, "path long, item long")
+
+
+class _Node:
+    """The items of a node: ids of their components, sizes of their sets, tokens and low hashes."""
+
+    def __init__(self, parts: np.ndarray, sizes: np.ndarray, tokens: np.ndarray, lows: list[np.ndarray], percent: int, least: float, every: bool) -> None:
+        self.tokens, self.lows, self.percent, self.least, self.every = tokens, lows, percent, least, every
+        self.part = np.unique(parts, return_inverse=True)[1]
+        self.up = np.arange(self.part.max() + 1)
+        self.counts = np.array([len(x) for x in lows])
+        self.whole = self.counts == sizes
+        # hashes up to here are all that the set has
+        self.top = np.where(self.whole, np.int64(2**32), np.array([x[-1] for x in lows], np.int64))
+        self.found: dict[tuple[int, int], None] = {}
+
+    def root(self, x: int) -> int:
+        while self.up[x] != x:
+            self.up[x] = x = self.up[self.up[x]]
+        return x
+
+    def roots(self, at: np.ndarray) -> np.ndarray:
+        return np.array([self.root(x) for x in self.part[at].tolist()])
+
+    def compare(self, left: np.ndarray, right: np.ndarray) -> None:
+        """Links of items of left with items of right."""
+        both = np.concatenate([left, right]) if left is not right else left
+        hashes = np.concatenate([self.lows[i] for i in both])
+        owner = np.repeat(np.arange(len(both)), self.counts[both])
+        known, at, times = np.unique(hashes, return_inverse=True, return_counts=True)
+        shared = times > 1
+        use, column = shared[at], np.cumsum(shared) - 1
+        x = np.zeros((len(both), int(shared.sum())), np.float32)
+        x[owner[use], column[at[use]]] = 1
+        y = x if left is right else x[len(left) :]
+        x = x[: len(left)]
+        same = x @ y.T
+        reach = np.minimum(self.top[left][:, None], self.top[right][None, :])
+        all_ = np.add.outer(self.counts[left], self.counts[right]).astype(np.float64)
+        if not (self.whole[left].all() and self.whole[right].all()):  # what either knows counts up to the reach of both only
+            for k, i in enumerate(left):
+                all_[k] += np.searchsorted(self.lows[i], reach[k], side="right") - self.counts[i]
+            for k, j in enumerate(right):
+                all_[:, k] += np.searchsorted(self.lows[j], reach[:, k], side="right") - self.counts[j]
+        all_ -= same
+        exact = self.whole[left][:, None] & self.whole[right][None, :]
+        good = np.where(exact, 100 * same >= self.percent * all_, same >= self.least * all_)
+        good &= self.roots(left)[:, None] != self.roots(right)[None, :]
+        i, j = np.nonzero(np.triu(good, 1) if left is right else good)
+        if not len(i):
+            return
+        for k in np.argsort(-same[i, j] / all_[i, j], kind="stable").tolist():
+            a, b = int(left[i[k]]), int(right[j[k]])
+            p, q = self.root(self.part[a]), self.root(self.part[b])
             if p != q:
-                up[max(p, q)] = min(p, q)
-                out.append((a, b))
-        return out
+                self.found[a, b] = None
+                if not self.every:
+                    self.up[max(p, q)] = min(p, q)
+
+    def middle(self, at: np.ndarray) -> np.ndarray:
+        """The items whose tokens are the most frequent."""
+        often = np.zeros(len(at))
+        for column in self.tokens[at].T:
+            _, place, times = np.unique(column, return_inverse=True, return_counts=True)
+            often += times[place]
+        return at[np.argsort(-often, kind="stable")[:HUBS]]
+
+    def join(self, path: int, depth: int) -> list[tuple[int, int]]:
+        waiting = [(np.arange(len(self.part)), path, depth)]
+        while waiting:
+            at, path, depth = waiting.pop()
+            if (self.roots(at) == self.root(self.part[at[0]])).all():
+                continue
+            if len(at) <= SMALL:
+                self.compare(at, at)
+            elif depth >= DEPTH:
+                cuts = [at[k : k + SMALL] for k in range(0, len(at), SMALL)]
+                for k, x in enumerate(cuts):
+                    for y in cuts[k:]:
+                        self.compare(x, y if y is not x else x)
+            else:
+                if HUBS:
+                    self.compare(self.middle(at), at)
+                for rows, paths in _children(np.full(len(at), path, np.uint64), self.tokens[at], depth):
+                    if len(rows):
+                        order = np.argsort(paths, kind="stable")
+                        cuts = np.flatnonzero(np.diff(paths[order])) + 1
+                        waiting += [(at[rows[g]], paths[g[0]], depth + 1) for g in np.split(order, cuts) if len(g) > 1]
+        return list(self.found)
+
+
+def _compare(members: DataFrame, percent: int, least: float, every: bool) -> DataFrame:
+    """(path, a, b) of similar items in nodes that lie together; members: (path, depth, item, component, n_shingles, tokens, low). Links that join parts of a node, or `every` pair of items of two components."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
 
         def settle(table: pa.Table) -> pa.RecordBatch:
-            path = table.column("path").to_numpy()
-            ids, parts, sides = table.column("id").to_numpy(), table.column("component").to_numpy(), table.column("side").to_pylist()
-            tokens = np.frombuffer(b"".join(table.column("tokens").to_pylist()), dtype=np.uint32).reshape(-1, TOKENS)
+            path, depth, item, parts, sizes = (table.column(c).to_numpy() for c in ("path", "depth", "item", "component", "n_shingles"))
             cuts = np.flatnonzero(np.diff(path)) + 1
             out = []
             for i, j in zip([0, *cuts], [*cuts, len(path)]):
-                if j - i > 1:
-                    out += node(ids[i:j], parts[i:j], sides[i:j], tokens[i:j])
-            return pa.record_batch([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], names=["a", "b"])
+                if j - i > 1 and (parts[i:j] != parts[i]).any():
+                    lows = [np.frombuffer(x, np.uint32) for x in table.column("low").slice(i, j - i).to_pylist()]
+                    node = _Node(parts[i:j], sizes[i:j], _tokens(table.column("tokens").slice(i, j - i)), lows, percent, least, every)
+                    out += [(int(path[i]), *sorted((int(item[i + a]), int(item[i + b])))) for a, b in node.join(path[i : i + 1].view(np.uint64)[0], int(depth[i]))]
+            return pa.record_batch([pa.array([r[c] for r in out], pa.int64()) for c in range(3)], names=["path", "a", "b"])
 
         for b in batches:
             if not b.num_rows:
@@ -189,28 +269,26 @@ def _compare(members: DataFrame, least: float, forest: bool) -> DataFrame:
         if held:
             yield settle(pa.Table.from_batches(held))
 
-    return members.mapInArrow(run, "a long, b long")
+    return members.mapInArrow(run, "path long, a long, b long")
 
 
-def _confirm(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs whose full sets are similar enough; texts: (id, text)."""
+def _confirm(pairs: DataFrame, items: DataFrame, words: int, percent: int) -> DataFrame:
+    """(a, b, id_a, id_b, good) of pairs (a, b) of items: whether their full sets are similar enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: dict[str, np.ndarray] = {}
+        last: dict[int, np.ndarray] = {}
         for b in batches:
             good = []
-            for s, t in zip(b.column("text_a"), b.column("text_b")):
-                own = s.as_py()
-                if own not in last:  # an id may stand for several texts
-                    last = {own: shingles(own, words)}
-                x, y = last[own], shingles(t.as_py(), words)
+            for a, s, t in zip(b.column("a").to_pylist(), b.column("text_a"), b.column("text_b")):
+                if a not in last:
+                    last = {a: shingles(s.as_py(), words)}
+                x, y = last[a], shingles(t.as_py(), words)
                 both = len(x) + len(y) - len(np.union1d(x, y))
                 good.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield b.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+            yield pa.record_batch([*(b.column(c) for c in ("a", "b", "id_a", "id_b")), pa.array(good, pa.bool_())], names=["a", "b", "id_a", "id_b", "good"])
 
-    left = texts.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
-    right = texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
-    return pairs.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+    left, right = (items.select(F.col("item").alias(x), F.col("id").alias(f"id_{x}"), F.col("text").alias(f"text_{x}")) for x in "ab")
+    return pairs.join(right, "b").join(left, "a").select("a", "b", "id_a", "id_b", "text_a", "text_b").mapInArrow(run, "a long, b long, id_a long, id_b long, good boolean")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -236,86 +314,81 @@ def components(links: DataFrame) -> DataFrame:
 
 
 class _Join:
-    """The state of one join: items, confirmed links, components."""
+    """The state of one join: items, confirmed links of their ids, components of ids."""
 
-    def __init__(self, spark: SparkSession, docs: DataFrame, items: DataFrame, words: int, percent: int) -> None:
-        self.spark, self.docs, self.items, self.words, self.percent = spark, docs, items, words, percent
+    def __init__(self, spark: SparkSession, items: DataFrame, words: int, percent: int) -> None:
+        self.spark, self.items, self.words, self.percent = spark, items, words, percent
         self.trees, self.least = plan(percent)
-        self.links = spark.createDataFrame([], "a long, b long")
-        self.parts = spark.createDataFrame([], "id long, component long")
-
-    def open_nodes(self, nodes: DataFrame) -> DataFrame:
-        """(path, id, component, size) of nodes with items of more than one component."""
-        own = nodes.join(self.parts, "id", "left").select("path", "id", F.coalesce("component", "id").alias("component"))
-        sizes = own.groupBy("path").agg(F.count("*").alias("size"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select(F.col("path").alias("p"), "size")
-        return own.join(sizes, F.col("path") == F.col("p")).drop("p")
-
-    def settle(self, pairs: DataFrame, texts: DataFrame) -> None:
-        """Confirms pairs and joins what is linked."""
-        pairs = written(pairs.distinct(), "pairs")
-        self.links = self.links.unionByName(written(_confirm(pairs, texts, self.words, self.percent), "links"))
+        self.links: DataFrame = spark.createDataFrame([], "a long, b long")
+        self.parts: DataFrame | None = None  # (id, component) of linked ids
+
+    def components_of(self, rows: DataFrame) -> DataFrame:
+        """rows with `item`, and its component: the least id that links reach so far."""
+        ids = self.items.select("item", "id")
+        if self.parts is not None:
+            ids = ids.join(self.parts, "id", "left").select("item", F.coalesce("component", "id").alias("component"))
+        else:
+            ids = ids.withColumnRenamed("id", "component")
+        return rows.join(ids, "item")
+
+    def open_nodes(self, nodes: DataFrame, depth: int) -> DataFrame:
+        """(path, item, depth, component, size) of nodes with items of more than one component."""
+        own = self.components_of(nodes)
+        sizes = own.groupBy("path").agg(F.count("*").alias("size"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("path", "size")
+        return written(own.join(sizes, "path").select("path", "item", F.lit(depth).alias("depth"), "component", "size"), "nodes")
+
+    def pairs(self, nodes: DataFrame, every: bool = False) -> DataFrame:
+        """(path, a, b) found in nodes that are each one group of a task."""
+        members = nodes.join(self.items.select("item", "n_shingles", "tokens", "low"), "item").select("path", "depth", "item", "component", "n_shingles", "tokens", "low")
+        return _compare(members.repartition(n_partitions(self.spark), "path").sortWithinPartitions("path"), self.percent, self.least, every)
+
+    def chunked(self, nodes: DataFrame) -> DataFrame:
+        """Nodes that are still too large at the last level, as nodes of each two of their chunks."""
+        count = F.ceil(F.col("size") * 2 / LARGE).cast("int")
+        own = nodes.withColumn("chunks", count).withColumn("chunk", F.pmod(F.xxhash64("item", F.lit(5)), count).cast("int"))
+        met = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+        # a chunk meets itself in each of its pairs
+        met = met.where((F.col("chunk") != F.col("other")) | (F.col("chunks") == 1))
+        return met.withColumn("path", F.xxhash64("path", F.least("chunk", "other"), F.greatest("chunk", "other"))).select(*nodes.columns)
+
+    def judge(self, pairs: DataFrame) -> DataFrame:
+        """Pairs confirmed or not; what is confirmed is linked."""
+        judged = written(_confirm(pairs, self.items, self.words, self.percent), "judged")
+        self.links = self.links.unionByName(judged.where("good").select(F.col("id_a").alias("a"), F.col("id_b").alias("b")))
+        return judged
+
+    def batch(self, trees: range) -> None:
+        nodes, depth, groups, levels = self.open_nodes(_first_paths(self.items, trees), 1), 1, [], []
+        while True:
+            levels.append(nodes)
+            groups.append(nodes.where(F.col("size") <= LARGE))
+            large = nodes.where(F.col("size") > LARGE)
+            if not large.limit(1).count():
+                break
+            if depth == DEPTH:
+                groups.append(self.chunked(large))
+                break
+            members = large.join(self.items.select("item", "tokens"), "item").select("path", "item", "tokens")
+            nodes, depth = self.open_nodes(_branch(members, depth), depth + 1), depth + 1
+        groups = reduce(DataFrame.unionByName, groups)
+        found = written(self.pairs(groups), "pairs")
+        judged = self.judge(found.select("a", "b").distinct())
+        failed = judged.where("NOT good").select("a", "b")
+        again = bool(failed.limit(1).count())
         self.parts = written(components(self.links), "components")
-
-    def with_tokens(self, members: DataFrame) -> DataFrame:
-        return members.join(self.items.select("id", "tokens"), "id")
-
-    def small(self, nodes: DataFrame, forest: bool) -> DataFrame:
-        members = self.with_tokens(nodes).select("path", F.lit(None).cast("int").alias("side"), "id", "component", "tokens")
-        return _compare(members.repartition(n_partitions(self.spark), "path").sortWithinPartitions("path", "id"), self.least, forest)
-
-    def pivots(self, nodes: DataFrame) -> DataFrame:
-        """(a, b) of each item of a node and two of its items as pivots, where the tokens allow a link."""
-        order = F.xxhash64("path", "id")
-        ends = nodes.groupBy("path").agg(F.min_by("id", order).alias("i"), F.max_by("id", order).alias("j"))
-        pivot = ends.select(F.col("path").alias("p"), F.explode(F.array("i", "j")).alias("pivot"))
-        pivot = pivot.join(self.items.select(F.col("id").alias("pivot"), F.col("tokens").alias("pivot_tokens")), "pivot")
-        met = self.with_tokens(nodes).join(pivot, (F.col("path") == F.col("p")) & (F.col("id") != F.col("pivot")))
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), dtype=np.uint32).reshape(b.num_rows, TOKENS) for c in ("tokens", "pivot_tokens"))
-                yield b.select(["a", "b"]).filter(pa.array((x == y).mean(axis=1) >= self_least))
-
-        self_least = self.least
-        return met.select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b"), "tokens", "pivot_tokens").mapInArrow(run, "a long, b long")
-
-    def blocks(self, nodes: DataFrame, forest: bool) -> DataFrame:
-        """All pairs of large nodes, block against block."""
-        count = F.ceil(F.col("size") / (BLOCK * SMALL)).cast("int")
-        own = self.with_tokens(nodes).withColumn("blocks", count).withColumn("block", F.pmod(F.xxhash64("id", F.lit(5)), count).cast("int"))
-        met = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        key = F.xxhash64("path", F.least("block", "other"), F.greatest("block", "other"))
-        # blocks of a pair meet under its key; within a block its items are met once, under the block paired with itself
-        members = met.select(key.alias("path"), F.when(F.col("block") != F.col("other"), F.col("block")).alias("side"), "id", "component", "tokens")
-        return _compare(members.repartition(n_partitions(self.spark), "path").sortWithinPartitions("path", "id"), self.least, forest)
+        if again:
+            paths = found.join(failed, ["a", "b"]).select("path").distinct()
+            redo = self.components_of(groups.drop("component").join(paths, "path", "left_semi"))
+            rest = self.pairs(redo, every=True).select("a", "b").distinct().join(judged.select("a", "b"), ["a", "b"], "left_anti")
+            self.judge(written(rest, "pairs"))
+            self.parts = written(components(self.links), "components")
+        discard(found, *levels)
 
     def run(self, trees: int | None) -> None:
         trees = trees or self.trees
-        first, others = (self.written_nodes(_first_paths(self.items, t)) for t in (range(min(FIRST, trees)), range(min(FIRST, trees), trees)))
-        involved = first.select("id").unionByName(others.select("id")).distinct().hint("shuffle_hash")
-        texts = written(self.docs.join(involved, F.col("doc_id") == F.col("id"), "left_semi").select(F.col("doc_id").alias("id"), "text").distinct(), "texts")
-        # what small nodes and pivots of the first trees link need not be compared again
-        few, many = first.where(F.col("size") <= SMALL), first.where(F.col("size") > SMALL)
-        self.settle(self.small(few, True).unionByName(self.pivots(many)), texts)
-        leaves, depth = [], 1
-        nodes = self.written_nodes(first.select("path", "id").unionByName(others.select("path", "id")))
-        while True:
-            leaves.append(nodes.where(F.col("size") <= SMALL))
-            nodes = nodes.where(F.col("size") > SMALL)
-            if depth == DEPTH or not nodes.limit(1).count():
-                break
-            nodes = self.written_nodes(_branch(self.with_tokens(nodes).select("path", "id", "tokens"), depth))
-            depth += 1
-        few, many = reduce(DataFrame.unionByName, leaves), nodes
-        for forest in (True, False):
-            pairs = self.small(few, forest)
-            self.settle(pairs.unionByName(self.blocks(many, forest)) if depth == DEPTH else pairs, texts)
-            if forest:
-                left = self.written_nodes(few.unionByName(many).select("path", "id"))
-                few, many = left.where(F.col("size") <= SMALL), left.where(F.col("size") > SMALL)
-
-    def written_nodes(self, nodes: DataFrame) -> DataFrame:
-        return written(self.open_nodes(nodes), "nodes")
+        for some in (range(min(FIRST, trees)), range(min(FIRST, trees), trees)):
+            if len(some):
+                self.batch(some)
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = 85, trees: int | None = None) -> DataFrame:
@@ -323,20 +396,22 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = 85, tree
     spark = docs.sparkSession
     ship(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
-    sketched = written(_sketch(rows, words), "sketches")
-    real = sketched.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    items = written(real.groupBy("set_key").agg(F.min("doc_id").alias("id"), F.any_value("tokens").alias("tokens")), "items")
-    join = _Join(spark, rows, items, words, percent)
+    whole = written(_sketch(rows, words), "sketches")
+    sketched = written(whole.select("doc_id", "n_shingles", "set_key"), "sets")
+    items = whole.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("set_key").agg(F.min("doc_id").alias("id"), *(F.any_value(c).alias(c) for c in ("n_shingles", "tokens", "low", "text")))
+    items = written(items.withColumn("item", F.monotonically_increasing_id()), "items")
+    discard(whole)
+    join = _Join(spark, items, words, percent)
     join.run(trees)
     # an id may stand for several sets, and ids of equal sets are linked with the set's first
+    real = sketched.where("n_shingles > 0 AND doc_id IS NOT NULL")
     twice = sketched.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").limit(1).count()
-    parts = join.parts
     if twice:
         same = real.select("doc_id", "set_key").distinct().join(items.select("set_key", "id"), "set_key")
         parts = components(join.links.unionByName(same.select(F.col("id").alias("a"), F.col("doc_id").alias("b")).where("a <> b")))
         own = sketched.join(parts, F.col("doc_id") == F.col("id"), "left")
     else:
-        whole = items.select("set_key", "id").join(parts, "id", "left").select(F.col("set_key").alias("k"), F.coalesce("component", "id").alias("component"))
+        whole = items.select("set_key", "id").join(join.parts, "id", "left").select(F.col("set_key").alias("k"), F.coalesce("component", "id").alias("component"))
         own = sketched.join(written(whole, "classes"), F.col("set_key") == F.col("k"), "left")
     component = F.coalesce("component", "doc_id")
     return own.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
@@ -344,10 +419,11 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = 85, tree
 
 def one_of_each(docs: DataFrame, words: int = WORDS, percent: int = 85, trees: int | None = None) -> DataFrame:
     """One row of docs (doc_id, text, ...) for each group of near-duplicates, as it is; rows with a null id stay."""
-    keep = near_duplicates(docs, words, percent, trees).where("kept AND doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("_kept")).agg(F.count("*").alias("_rows"))
+    own, count, rank = (unused(docs, c) for c in ("_kept", "_rows", "_rank"))
+    keep = near_duplicates(docs, words, percent, trees).where("kept AND doc_id IS NOT NULL").groupBy(F.col("doc_id").alias(own)).agg(F.count("*").alias(count))
     keep = written(keep, "kept").hint("shuffle_hash")
     known = docs.where(F.col("doc_id").isNotNull())
-    if keep.where("_rows > 1").limit(1).count():  # rows of one id are one document: the first by its text's hash stays
-        rank = F.row_number().over(W.partitionBy("doc_id").orderBy(F.xxhash64("text")))
-        known = known.withColumn("_rank", rank).where("_rank = 1").drop("_rank")
-    return known.join(keep, F.col("doc_id") == F.col("_kept"), "left_semi").unionByName(docs.where(F.col("doc_id").isNull()))
+    if keep.where(F.col(count) > 1).limit(1).count():  # rows of one id are one document: the first by its text's hash stays
+        nth = F.row_number().over(W.partitionBy("doc_id").orderBy(F.xxhash64("text")))
+        known = known.withColumn(rank, nth).where(F.col(rank) == 1).drop(rank)
+    return known.join(keep.select(own), F.col("doc_id") == F.col(own), "left_semi").unionByName(docs.where(F.col("doc_id").isNull()))
