@@ -109,9 +109,9 @@ def _sketch(docs: DataFrame, words: int) -> DataFrame:
                 else:
                     rows.append((0, None, None, None))
             n, key, tokens, low = zip(*rows) if rows else ((),) * 4
-            yield pa.record_batch([b.column("doc_id"), b.column("text"), pa.array(n, pa.int64()), *(pa.array(x, pa.binary()) for x in (key, tokens, low))], names=["doc_id", "text", "n_shingles", "set_key", "tokens", "low"])
+            yield pa.record_batch([b.column("doc_id"), b.column("text_hash"), pa.array(n, pa.int64()), *(pa.array(x, pa.binary()) for x in (key, tokens, low))], names=["doc_id", "text_hash", "n_shingles", "set_key", "tokens", "low"])
 
-    return docs.mapInArrow(run, "doc_id long, text string, n_shingles long, set_key binary, tokens binary, low binary")
+    return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, "doc_id long, text_hash long, n_shingles long, set_key binary, tokens binary, low binary")
 
 
 def _tokens(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
@@ -272,8 +272,8 @@ def _compare(members: DataFrame, percent: int, least: float, every: bool) -> Dat
     return members.mapInArrow(run, "path long, a long, b long")
 
 
-def _confirm(pairs: DataFrame, items: DataFrame, words: int, percent: int) -> DataFrame:
-    """(a, b, id_a, id_b, good) of pairs (a, b) of items: whether their full sets are similar enough."""
+def _confirm(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """(a, b, id_a, id_b, good) of pairs (a, b) of items: whether their full sets are similar enough; texts: (item, id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: dict[int, np.ndarray] = {}
@@ -287,7 +287,7 @@ def _confirm(pairs: DataFrame, items: DataFrame, words: int, percent: int) -> Da
                 good.append(100 * both >= percent * (len(x) + len(y) - both))
             yield pa.record_batch([*(b.column(c) for c in ("a", "b", "id_a", "id_b")), pa.array(good, pa.bool_())], names=["a", "b", "id_a", "id_b", "good"])
 
-    left, right = (items.select(F.col("item").alias(x), F.col("id").alias(f"id_{x}"), F.col("text").alias(f"text_{x}")) for x in "ab")
+    left, right = (texts.select(F.col("item").alias(x), F.col("id").alias(f"id_{x}"), F.col("text").alias(f"text_{x}")) for x in "ab")
     return pairs.join(right, "b").join(left, "a").select("a", "b", "id_a", "id_b", "text_a", "text_b").mapInArrow(run, "a long, b long, id_a long, id_b long, good boolean")
 
 
@@ -316,8 +316,8 @@ def components(links: DataFrame) -> DataFrame:
 class _Join:
     """The state of one join: items, confirmed links of their ids, components of ids."""
 
-    def __init__(self, spark: SparkSession, items: DataFrame, words: int, percent: int) -> None:
-        self.spark, self.items, self.words, self.percent = spark, items, words, percent
+    def __init__(self, spark: SparkSession, docs: DataFrame, items: DataFrame, words: int, percent: int) -> None:
+        self.spark, self.docs, self.items, self.words, self.percent = spark, docs, items, words, percent
         self.trees, self.least = plan(percent)
         self.links: DataFrame = spark.createDataFrame([], "a long, b long")
         self.parts: DataFrame | None = None  # (id, component) of linked ids
@@ -353,7 +353,14 @@ class _Join:
 
     def judge(self, pairs: DataFrame) -> DataFrame:
         """Pairs confirmed or not; what is confirmed is linked."""
-        judged = written(_confirm(pairs, self.items, self.words, self.percent), "judged")
+        pairs = written(pairs, "pairs")
+        # one text of each item in a pair; written, so that few are broadcast and no text moves
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("item")).distinct().join(self.items.select("item", "id", "text_hash"), "item")
+        wanted = written(wanted.withColumnRenamed("text_hash", "own_hash"), "wanted")
+        rows = self.docs.withColumn("text_hash", F.xxhash64("text")).join(wanted, F.expr("doc_id = id AND text_hash = own_hash"))
+        texts = written(rows.groupBy("item", "id").agg(F.any_value("text").alias("text")), "texts")
+        judged = written(_confirm(pairs, texts, self.words, self.percent), "judged")
+        discard(pairs, wanted, texts)
         self.links = self.links.unionByName(judged.where("good").select(F.col("id_a").alias("a"), F.col("id_b").alias("b")))
         return judged
 
@@ -380,7 +387,7 @@ class _Join:
             paths = found.join(failed, ["a", "b"]).select("path").distinct()
             redo = self.components_of(groups.drop("component").join(paths, "path", "left_semi"))
             rest = self.pairs(redo, every=True).select("a", "b").distinct().join(judged.select("a", "b"), ["a", "b"], "left_anti")
-            self.judge(written(rest, "pairs"))
+            self.judge(rest)
             self.parts = written(components(self.links), "components")
         discard(found, *levels)
 
@@ -398,10 +405,12 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = 85, tree
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
     whole = written(_sketch(rows, words), "sketches")
     sketched = written(whole.select("doc_id", "n_shingles", "set_key"), "sets")
-    items = whole.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("set_key").agg(F.min("doc_id").alias("id"), *(F.any_value(c).alias(c) for c in ("n_shingles", "tokens", "low", "text")))
-    items = written(items.withColumn("item", F.monotonically_increasing_id()), "items")
+    first = F.min(F.struct("doc_id", "text_hash"))
+    items = whole.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("set_key").agg(first.alias("f"), *(F.any_value(c).alias(c) for c in ("n_shingles", "tokens", "low")))
+    items = items.select("set_key", F.col("f.doc_id").alias("id"), "f.text_hash", "n_shingles", "tokens", "low", F.monotonically_increasing_id().alias("item"))
+    items = written(items, "items")
     discard(whole)
-    join = _Join(spark, items, words, percent)
+    join = _Join(spark, rows, items, words, percent)
     join.run(trees)
     # an id may stand for several sets, and ids of equal sets are linked with the set's first
     real = sketched.where("n_shingles > 0 AND doc_id IS NOT NULL")
