@@ -1,8 +1,10 @@
+import math
 import random
 from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pytest
 
 from typeharvest.llm import decontamination, queries, sharding, topk
 
@@ -127,3 +129,20 @@ def test_decontamination_query(spark):
     items = [(r.item_id, decontamination.normalised(r.text)) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
     texts = [(r.doc_id, decontamination.normalised(r.text)) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     assert got >= {(i, k) for i, t in texts for k, b in items if b in t}
+
+
+@pytest.mark.parametrize("scale", [1.0, 3e5, 4e6, 1e9, 1e300])
+def test_top_k_is_exact_at_any_size(spark, monkeypatch, scale):
+    monkeypatch.setattr(topk, "CANDIDATES", 16)
+    rnd = random.Random(9)
+    rows = [(i, [scale * rnd.choice([-1, 0.5, 1]), 0.01 * rnd.randint(1, 9), scale * rnd.random()]) for i in range(60)]
+    rows += [(100 + i, v) for i, v in rows[:20]]  # ties, also between blocks
+    whole = {i: [int(x) * 256 if abs(x) >= 2**53 else math.floor(256 * x) for x in v] for i, v in rows}
+    want = set()
+    for q in (i for i in whole if i % 50 == 0):
+        score = {i: max(-(2**63), min(2**63 - 1, sum(a * b for a, b in zip(whole[q], whole[i])))) for i in whole if i != q}
+        best = sorted(score, key=lambda i: (-score[i], i))[:5]
+        want |= {(q, r, i, score[i]) for r, i in enumerate(best, 1)}
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = topk.top_k(df, F_col("vec_id") % 50 == 0)
+    assert {tuple(r) for r in got.collect()} == want

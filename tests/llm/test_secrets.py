@@ -61,3 +61,10 @@ def test_empty_table_and_query(spark, frame, sf):
     assert len(rows) == len(texts)
     for r in rows:
         assert r.base_sha256 == hashlib.sha256(",".join(base(texts[r.doc_id] or "")).encode()).hexdigest()
+
+
+def test_redact_leaves_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "password = abcdefghijkl123", "h", 5, "f", "v", "t"), (2, "plain", "g", 6, "e", "u", "s")], "doc_id long, text string, _hash string, _id int, _found string, _values string, text_hash string")
+    rows = sorted(map(tuple, secrets.redact(docs).collect()))
+    assert [r[2:] for r in rows] == [("h", 5, "f", "v", "t"), ("g", 6, "e", "u", "s")]
+    assert "abcdefghijkl123" not in rows[0][1] and "<secret>" in rows[0][1] and rows[1][1] == "plain"

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import whole_text
+from .common import unused, whole_text
 
 SCOPE = 300
 ASSIGN = r"""(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?"""
@@ -98,13 +98,14 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scope:
 def redact(docs: DataFrame, scope: int = SCOPE, mark: str = "<secret>") -> DataFrame:
     """The rows of docs, with each reported secret and identifier replaced in the text (and n_chars counted anew there); endpoints stay."""
     value = F.struct((F.col("end") - F.length("value")).cast("int").alias("start"), F.col("end").cast("int").alias("end"))
-    per_doc = credentials(docs, scope=scope).where("kind <> 'endpoint'").groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set(value)).alias("_values"))
-    per_doc = per_doc.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_found"), "_values")
-    keyed = docs.withColumn("_hash", F.xxhash64(whole_text()))
-    joined = keyed.join(per_doc, keyed.doc_id.eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_found")), "left")
+    own, found, values, hash_ = (unused(docs, c) for c in ("_id", "_found", "_values", "_hash"))
+    per_doc = credentials(docs, scope=scope).where("kind <> 'endpoint'").groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set(value)).alias(values))
+    per_doc = per_doc.select(F.col("doc_id").alias(own), F.col("text_hash").alias(found), values)
+    keyed = docs.withColumn(hash_, F.xxhash64(whole_text()))
+    joined = keyed.join(per_doc, keyed.doc_id.eqNullSafe(F.col(own)) & (F.col(hash_) == F.col(found)), "left")
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     piece = lambda a, s: F.when(s["start"] >= a["at"], F.concat(a["out"], F.substring(keyed.text, a["at"] + 1, s["start"] - a["at"]), F.lit(mark))).otherwise(a["out"])
-    cut = F.aggregate("_values", start, lambda a, s: F.struct(F.greatest(a["at"], s["end"]).alias("at"), piece(a, s).alias("out")), lambda a: F.concat(a["out"], F.substring(keyed.text, a["at"] + 1, F.length(keyed.text))))
-    clean = F.when(F.col("_values").isNull(), keyed.text).otherwise(cut)
-    changed = {"text": clean, "n_chars": F.when(F.col("_values").isNull(), keyed["n_chars"]).otherwise(F.length(clean)).cast("long")} if "n_chars" in docs.columns else {"text": clean}
+    cut = F.aggregate(values, start, lambda a, s: F.struct(F.greatest(a["at"], s["end"]).alias("at"), piece(a, s).alias("out")), lambda a: F.concat(a["out"], F.substring(keyed.text, a["at"] + 1, F.length(keyed.text))))
+    clean = F.when(F.col(values).isNull(), keyed.text).otherwise(cut)
+    changed = {"text": clean, "n_chars": F.when(F.col(values).isNull(), keyed["n_chars"]).otherwise(F.length(clean)).cast("long")} if "n_chars" in docs.columns else {"text": clean}
     return joined.select(*(changed.get(c, keyed[c]).alias(c) for c in docs.columns))

@@ -5,8 +5,12 @@ reads the lists together, from the end that a query's sign prefers. Newly met ca
 what the lists show at their present depth bounds all candidates not met yet, and a query is done when that bound is below
 its kth score. The best k of each block are then ranked by query: k rows for each block of candidates.
 
+A task holds one block of candidates and one group of queries. Groups are large, so a candidate is sent once for each QUERIES
+queries, and a query once to each block.
+
 Vectors that are null or empty, or hold a null or non-finite component, take no part. Shorter vectors count as 0 beyond
-their end. Components are whole numbers here, so scores are exact. Ties: smaller id. Null ids take no part; rows that repeat
+their end. Components are whole numbers here, of a kind in which no sum of products is rounded, so scores are exact; one beyond
+a long counts as the nearest end of a long. Ties: smaller id. Null ids take no part; rows that repeat
 an id are candidates of their own, but not of a query with that id. An empty table: no rows. Other columns are ignored.
 """
 
@@ -20,11 +24,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from . import vectors as V
 from .common import ship, written
 
 K = 5
 #: Candidates and queries that a task holds, about, and the lists' first depth.
-CANDIDATES, QUERIES, DEPTH = 8192, 256, 64
+CANDIDATES, QUERIES, DEPTH = 8192, 8192, 64
 
 
 def threshold(vectors: np.ndarray, ids: np.ndarray, query: np.ndarray, own: int, k: int, lists: tuple[np.ndarray, np.ndarray]) -> list[tuple[int, int]]:
@@ -44,7 +49,10 @@ def threshold(vectors: np.ndarray, ids: np.ndarray, query: np.ndarray, own: int,
             seen[:] = True
         new = np.flatnonzero(seen & ~met)
         met[new] = True
-        scores, who = np.concatenate([scores, vectors[new] @ query]), np.concatenate([who, ids[new]])
+        met_now = vectors[new] @ query
+        if met_now.dtype == object:
+            met_now = np.clip(met_now, -(2**63), 2**63 - 1)
+        scores, who = np.concatenate([scores, met_now]), np.concatenate([who, ids[new]])
         if len(scores) > k:
             best = np.lexsort((who, -scores))[:k] if len(scores) < 64 else None
             if best is None:
@@ -60,29 +68,19 @@ def threshold(vectors: np.ndarray, ids: np.ndarray, query: np.ndarray, own: int,
     return [(int(scores[i]), int(who[i])) for i in order_]
 
 
-def whole_numbers(vector: str, scale: int = 256) -> Column:
-    """Each component x as floor(scale * x), or null if the vector takes no part."""
-    x = F.transform(vector, lambda v: v.cast("double"))
-    bad = F.exists(x, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
-    return F.when(F.col(vector).isNotNull() & (F.size(vector) > 0) & ~F.coalesce(bad, F.lit(True)), F.transform(x, lambda v: F.floor(v * scale)))
-
-
 def top_k(vectors: DataFrame, is_query: Column, k: int = K, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 256) -> DataFrame:
     """(query_id, rank, vec_id, score) of each row for which is_query holds, against all other rows."""
     ship(vectors.sparkSession)
-    rows = vectors.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), whole_numbers(vector_col, scale).alias("v"), F.coalesce(is_query, F.lit(False)).alias("q")).where("v IS NOT NULL")
-    rows = written(rows, "vectors")
-    n, n_queries, wide, most = rows.agg(F.count("*"), F.sum(F.col("q").cast("long")), F.max(F.size("v")), F.max(F.array_max(F.transform("v", lambda x: F.abs(x))))).first()
+    own = F.col(vector_col) if dict(vectors.dtypes)[vector_col] == "array<float>" else F.col(vector_col).cast("array<double>")
+    rows = vectors.where(F.col(id_col).isNotNull() & V.usable(vector_col) & (F.size(vector_col) > 0))
+    rows = written(rows.select(F.col(id_col).cast("long").alias("id"), own.alias("v"), F.coalesce(is_query, F.lit(False)).alias("q")), "vectors")
+    n, n_queries, wide, most = rows.agg(F.count("*"), F.sum(F.col("q").cast("long")), F.max(F.size("v")), F.max(V.largest("v"))).first()
     blocks, groups = max(1, math.ceil((n or 0) / CANDIDATES)), max(1, math.ceil((n_queries or 0) / QUERIES))
-    exact = np.float32 if (wide or 1) * (most or 0) ** 2 < 2**24 else np.float64  # sums of products stay whole numbers
     wide = wide or 1
+    exact = V.kind(wide, most or 0.0, scale)
 
     def matrix(t: pa.Table) -> np.ndarray:
-        lists = t.column("v").combine_chunks()
-        sizes = np.diff(lists.offsets.to_numpy())
-        out = np.zeros((len(sizes), wide), dtype=exact)
-        out[np.repeat(np.arange(len(sizes)), sizes), np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = lists.flatten().to_numpy()
-        return out
+        return V.matrix(t.column("v"), wide, scale, exact)
 
     def block(candidates: pa.Table, queries: pa.Table) -> pa.Table:
         found = []
