@@ -288,7 +288,7 @@ def _confirm(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Da
             yield pa.record_batch([*(b.column(c) for c in ("a", "b", "id_a", "id_b")), pa.array(good, pa.bool_())], names=["a", "b", "id_a", "id_b", "good"])
 
     left, right = (texts.select(F.col("item").alias(x), F.col("id").alias(f"id_{x}"), F.col("text").alias(f"text_{x}")) for x in "ab")
-    return pairs.join(right, "b").join(left, "a").select("a", "b", "id_a", "id_b", "text_a", "text_b").mapInArrow(run, "a long, b long, id_a long, id_b long, good boolean")
+    return pairs.join(right.hint("merge"), "b").join(left.hint("merge"), "a").select("a", "b", "id_a", "id_b", "text_a", "text_b").mapInArrow(run, "a long, b long, id_a long, id_b long, good boolean")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -354,10 +354,10 @@ class _Join:
     def judge(self, pairs: DataFrame) -> DataFrame:
         """Pairs confirmed or not; what is confirmed is linked."""
         pairs = written(pairs, "pairs")
-        # one text of each item in a pair; written, so that few are broadcast and no text moves
+        # one text of each item in a pair; nothing bounds their number, so nothing here is broadcast
         wanted = pairs.select(F.explode(F.array("a", "b")).alias("item")).distinct().join(self.items.select("item", "id", "text_hash"), "item")
         wanted = written(wanted.withColumnRenamed("text_hash", "own_hash"), "wanted")
-        rows = self.docs.withColumn("text_hash", F.xxhash64("text")).join(wanted, F.expr("doc_id = id AND text_hash = own_hash"))
+        rows = self.docs.withColumn("text_hash", F.xxhash64("text")).join(wanted.hint("shuffle_hash"), F.expr("doc_id = id AND text_hash = own_hash"))
         texts = written(rows.groupBy("item", "id").agg(F.any_value("text").alias("text")), "texts")
         judged = written(_confirm(pairs, texts, self.words, self.percent), "judged")
         discard(pairs, wanted, texts)
