@@ -97,3 +97,8 @@ def test_toxicity_learns(spark, frame):
     labels = spark.createDataFrame(marks, "doc_id long, quality int, toxic int")
     scored = toxicity.toxicity(frame(rows), labels, F.col("doc_id") % 3 != 0).where("doc_id % 3 = 0").collect()
     assert sum((r.score >= toxicity.THRESHOLD) == (r.doc_id % 5 == 0) for r in scored) >= 0.97 * len(scored)
+
+
+def test_sample_of_a_table_with_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "ein haus", "de", 5, 7), (2, "a house", "en", 6, 8), (3, "x", None, 1, 1)], "doc_id long, text string, lang string, id int, h int")
+    assert sorted(map(tuple, language.sample_rows(docs, F.col("id") > 0, 10).collect())) == [("de", "ein haus"), ("en", "a house")]

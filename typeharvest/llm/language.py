@@ -142,7 +142,7 @@ class Scorer:
 
 def sample_rows(docs: DataFrame, usable: Column, most: int) -> DataFrame:
     """(lang, text) of at most `most` rows of known language: at least their share for each language, by the smallest hashed ids."""
-    rows = docs.where(usable & F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
+    rows = docs.where(usable & F.col("lang").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "lang", "text")
     # ids first: the chosen ones are a bounded broadcast
     chosen = rows.select(F.col("doc_id").alias("id"), F.xxhash64("doc_id").alias("h")).distinct().orderBy("h", "id").limit(most).select("id")
     return rows.join(F.broadcast(chosen), F.col("doc_id") == F.col("id"), "left_semi").select("lang", whole_text().alias("text"))
