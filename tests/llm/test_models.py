@@ -12,7 +12,7 @@ PIECES = frozenset(["▁", "▁th", "th", "e", "he", "t", "h", "▁the", "er", "
 def segmentations(word):
     if not word:
         yield []
-    for k in range(1, min(language.PIECE, len(word)) + 1):
+    for k in range(1, len(word) + 1):
         if word[:k] in PIECES or k == 1:
             for rest in segmentations(word[k:]):
                 yield [word[:k], *rest]
@@ -22,18 +22,44 @@ def test_forward_sums_all_segmentations():
     model = {"a": {"th": 0.2, "e": 0.1, "▁": 0.3, "▁the": 0.05, "": 0.01}, "b": {"he": 0.3, "": 0.002}}
     scorer = language.Scorer(model, PIECES)
     for word in ("the", "there", "xyz", "t"):
-        logs = scorer.totals([[word]])[0]
+        logs = scorer.totals([language.words_of(word)])[0]
         for k, lang in enumerate(scorer.languages):
             p = sum(math.prod(model[lang].get(x, model[lang][""]) for x in s) for s in segmentations(f"▁{word}"))
             assert logs[k] == pytest.approx(math.log(p))
 
 
+def test_pieces_of_any_length():
+    path = queries.public_tokenizers.path("piece_bpe_32k.model")
+    pieces = language.vocabulary(path)
+    long = max(pieces, key=lambda p: (len(p), p))
+    assert len(long) == language.longest_of(pieces) == 16 and len(pieces) > 23_000
+    word = long.removeprefix("▁")
+    scorer = language.Scorer({"a": {long: 0.5, "": 1e-9}, "b": {"": 1e-9}}, pieces)
+
+    def total(text, own):  # over all segmentations, by the first piece
+        sums = [0.0] * len(text) + [1.0]
+        for i in range(len(text) - 1, -1, -1):
+            sums[i] = sum(own.get(text[i:j], own[""]) * sums[j] for j in range(i + 1, len(text) + 1) if text[i:j] in pieces or j == i + 1)
+        return sums[0]
+
+    for text in (word, f"un{word}en"):
+        logs = scorer.totals([language.words_of(text)])[0]
+        assert logs == pytest.approx([math.log(total(f"▁{text}", own)) for own in ({long: 0.5, "": 1e-9}, {"": 1e-9})])
+        assert long[0] != "▁" or text != word or logs[0] > logs[1] + 10
+
+
+def test_each_language_has_its_share(spark):
+    docs = spark.range(2000).selectExpr("id AS doc_id", "CAST(id AS string) AS text", "CASE WHEN id < 3 THEN 'aa' WHEN id < 300 THEN 'bb' ELSE 'cc' END AS lang")
+    got = {r.lang: r["count"] for r in language.sample_rows(docs.unionByName(docs), F.lit(True), 100).groupBy("lang").count().collect()}
+    assert got["aa"] == 6 and sum(got.values()) == 200 and abs(got["bb"] - got["cc"]) <= 2
+
+
 def test_expected_counts_match_enumeration():
     number = language.numbered(PIECES)
     probability = language.np.full(len(PIECES) + 2, 0.05)
     probability[number["the"] if "the" in number else number["th"]] = 0.4
     probability[-1] = 0
-    counts = language.Lattice(["the"], number).expected(probability, language.np.array([3.0]))
+    counts = language.Lattice(["▁the"], number, 4).expected(probability, language.np.array([3.0]))
     total, want = 0.0, dict.fromkeys(range(len(counts)), 0.0)
     for s in segmentations("▁the"):
         ids = [number.get(x, 0) for x in s]
@@ -45,7 +71,8 @@ def test_expected_counts_match_enumeration():
 
 
 def test_language_of_odd_rows(spark, frame):
-    assert language.words_of("a" * 60 + " É1b") == ["a" * 24, "a" * 24, "a" * 12, "é", "b"]
+    assert language.words_of("a" * 60 + " É1b") == ["▁" + "a" * 24, "a" * 24, "a" * 12, "▁é", "▁b"]
+    assert language.words_of("b" * 24 + " " + "c" * 25) == ["▁" + "b" * 24, "▁" + "c" * 24, "c"]
     pieces = queries.public_tokenizers.path("piece_bpe_32k.model")
     model = {"x": {"a": 0.5, "": 1e-4}, "y": {"b": 0.5, "": 1e-4}}
     rows = [(1, "aaa"), (1, "bbb"), (None, "bb"), (2, None), (3, ""), (4, "12 !"), (5, "a" * 100_000), (6, "zzz")]
@@ -83,6 +110,24 @@ def test_toxicity_of_odd_rows(spark, frame):
     assert toxicity.toxicity(frame([]), labels, F.lit(True)).collect() == []
 
 
+def test_toxicity_of_an_id_in_many_rows(spark, frame):
+    rows = [(i, f"the word w{i % 7} is here") for i in range(60)] + [(i, f"you are a grobian w{i % 7}") for i in range(60, 120)]
+    labels = spark.createDataFrame([(i, 1, int(i >= 60)) for i in range(120)], "doc_id long, quality int, toxic int")
+    hot = [rows[60]] * 3000
+    _, once = toxicity.fit(frame(rows), labels, F.lit(True))
+    _, often = toxicity.fit(frame(rows + hot), labels, F.lit(True))
+    assert len(once) == len(often) > 0
+
+
+def test_toxicity_held_out(spark):
+    sf = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "toxic").where("toxic IS NOT NULL")
+    held = [(r.score, r.toxic) for r in queries.op3_toxicity(spark, sf).join(labels, "doc_id").where("held_out").collect()]
+    toxic, clean = ([s for s, t in held if t == k] for k in (1, 0))
+    area = sum((a > b) + (a == b) / 2 for a in toxic for b in clean) / (len(toxic) * len(clean))
+    assert len(toxic) >= 100 and area >= 0.95
+
+
 def test_toxicity_learns(spark, frame):
     rnd = random.Random(1)
     words = [f"w{chr(97 + i)}{chr(97 + j)}" for i in range(8) for j in range(8)]

@@ -74,13 +74,12 @@ def test_top_k_query_against_sql(spark, sf):
 
 def edits(a, b):
     """Least edits of a against any part of b."""
-    row = [0] * (len(b) + 1)
+    text, place = np.frombuffer(b, dtype=np.uint8), np.arange(len(b) + 1)
+    row = np.zeros(len(b) + 1, dtype=np.int64)
     for i, c in enumerate(a, 1):
-        new = [i]
-        for j, d in enumerate(b, 1):
-            new.append(min(row[j - 1] + (c != d), row[j] + 1, new[-1] + 1))
-        row = new
-    return min(row)
+        best = np.append(i, np.minimum(row[:-1] + (text != c), row[1:] + 1))
+        row = np.minimum.accumulate(best - place) + place
+    return int(row.min())
 
 
 def test_decontamination_against_brute_force(spark, frame):
@@ -112,6 +111,22 @@ def test_decontamination_against_brute_force(spark, frame):
     assert sorted(str(r.doc_id) for r in clean) == sorted(str(i) for i, _ in rows if not any(w[0] == i for w in want))
 
 
+def test_excerpts_and_short_items(spark, frame):
+    rnd = random.Random(5)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(rnd.randint(1, 9)))
+    item, short = " ".join(word() for _ in range(80)), "an item of thirty-seven bytes in all."
+    rows, key = [(1000, f"before {short} after"), (1001, "an item of thirty-six bytes in all"), (1002, "of thirty-seven")], 0
+    for n in (decontamination.SURE, 80, 120, 160):
+        for _ in range(30):
+            at = rnd.randrange(len(item) - n)
+            rows.append((key, f"{word()} {item[at : at + n].strip()}{'' if item[at + n - 1] != ' ' else ' ' + item[at + n]}{item[at + n : at + n + 2]} {word()}"))
+            key += 1
+    assert len(short) == 37
+    benchmark = spark.createDataFrame([(1, item), (2, short)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontamination.leaks(frame(rows), benchmark).collect()}
+    assert got >= {(k, 1) for k in range(key)} | {(1000, 2)} and not {k for k, _ in got} & {1002}
+
+
 def test_decontamination_in_blocks(spark, frame, monkeypatch):
     items = [f"the item number {k} has words of its own like {'abcdefgh'[k] * 7} and {k * 7919} to tell" for k in range(6)]
     benchmark = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")

@@ -1,13 +1,14 @@
 """Benchmark decontamination by the q-gram lemma.
 
-Benchmark items are cut into overlapping segments. A place that holds a segment of m characters with at most k edits shares
+Benchmark items are cut into overlapping segments of two lengths: the long ones bear more edits, the short ones lie so close
+that every excerpt of SURE bytes of an item holds a whole one. A shorter item is one segment. A place that holds a segment of m characters with at most k edits shares
 at least m + 1 - q (k + 1) of its q-grams, all on diagonals that lie within k of each other. So shared q-grams are counted
 in overlapping bands of diagonals; bands that reach the bound are verified by banded alignment. Documents are mapped where
 they lie: nothing of them shuffles. Segments go to the tasks in blocks of BLOCK characters at most, one pass over the
 documents for each; a benchmark of any size is compared whole.
 
-Text is lower-cased and runs of white space are one space; characters are its UTF-8 bytes. Items shorter than LEAST are not
-looked for (they are met by chance). Null text, on either side: empty. Null and repeated ids: kept, each row is compared.
+Text is lower-cased and runs of white space are one space; characters are its UTF-8 bytes. Items shorter than LEAST bytes
+(four or five words) are not looked for: they are met by chance. Null text, on either side: empty. Null and repeated ids: kept, each row is compared.
 An empty table: no rows. Other columns are ignored.
 """
 
@@ -23,7 +24,12 @@ from pyspark.sql import functions as F
 
 from .common import ship
 
-Q, SEGMENT, STRIDE, LEAST, EDITS = 8, 120, 60, 40, 0.08
+Q, LEAST, EDITS = 8, 24, 0.08
+#: Lengths of segments and how far apart they start.
+CUTS = ((120, 60), (48, 12))
+SEGMENT = max(size for size, _ in CUTS)
+#: Least bytes of an excerpt that surely holds a whole segment.
+SURE = min(size + stride - 1 for size, stride in CUTS)
 #: Most characters of segments that a pass sends to its tasks.
 BLOCK = 4 << 20
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -35,12 +41,15 @@ def normalised(text: str | None) -> bytes:
 
 
 def segments_of(text: str | None) -> list[tuple[int, bytes]]:
-    """(start, segment) of an item; the last one ends where the item ends."""
+    """(start, segment) of an item; the last one of each length ends where the item ends."""
     whole = normalised(text)
     if len(whole) < LEAST:
         return []
-    last = max(0, len(whole) - SEGMENT)
-    return [(at, whole[at : at + SEGMENT]) for at in sorted({*range(0, last, STRIDE), last})]
+    found = set()
+    for size, stride in CUTS:
+        last = max(0, len(whole) - size)
+        found |= {(at, whole[at : at + size]) for at in (*range(0, last, stride), last)}
+    return sorted(found)
 
 
 def _grams(data: bytes) -> np.ndarray:

@@ -2,11 +2,13 @@
 
 Each language has a probability for every piece of a fixed public vocabulary. A word's probability in a language is the sum
 over all its segmentations into pieces, by the forward algorithm; a text's is the product over its words. Piece
-probabilities are fitted by expectation maximisation over word counts of at most SAMPLE rows of known language, those with
-the smallest hashed ids: every round is a map over the counted words, then a sum by language and piece, of which there are
-no more than languages times vocabulary. Prediction is a map over all rows without a shuffle.
+probabilities are fitted by expectation maximisation over word counts of a sample: SAMPLE ids of known language at most, by
+turns the next of each language in the order of hashed ids. Every round is a map over the counted words, then a sum by
+language and piece, of which there are no more than languages times vocabulary. Prediction is a map over all rows without a
+shuffle.
 
-Words are runs of letters, lower-cased; one longer than WORD letters is scored as consecutive parts. Null text, or text
+Words are runs of letters, lower-cased; one longer than WORD letters is scored as consecutive parts, of which only the first
+has the mark of a word's start. All pieces of letters take part, however long. Null text, or text
 without letters: `und`, score 0. Null language: not learned from. Nothing to learn from: `und`. Ties: the language first in
 order. Null and repeated ids: each row is predicted. Other columns are ignored.
 """
@@ -15,19 +17,19 @@ from __future__ import annotations
 
 import re
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import ship, whole_text, written
 
-#: Most labelled rows that the fit reads; rounds of expectation maximisation.
+#: Most labelled ids that the fit reads; rounds of expectation maximisation.
 SAMPLE, ROUNDS = 3_000, 2
-#: Letters that are scored at once, and longest piece.
-WORD, PIECE = 24, 8
+#: Letters that are scored at once.
+WORD = 24
 UNKNOWN = "und"
 _LETTERS = re.compile(r"[^\W\d_]+")
 _LOADED: dict[str, frozenset[str]] = {}
@@ -40,30 +42,32 @@ def vocabulary(path: str) -> frozenset[str]:
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         pieces = (model.id_to_piece(i).lower() for i in range(model.get_piece_size()))
-        _LOADED[path] = frozenset(p for p in pieces if len(p) <= PIECE and _LETTERS.fullmatch(p.removeprefix("▁") or "x"))
+        _LOADED[path] = frozenset(p for p in pieces if _LETTERS.fullmatch(p.removeprefix("▁") or "x"))
     return _LOADED[path]
 
 
 def words_of(text: str) -> list[str]:
     """The scored parts of a text; the first part of a word is marked."""
-    words = _LETTERS.findall(text.lower())
-    if all(len(w) <= WORD for w in words):
+    words = [f"▁{w}" for w in _LETTERS.findall(text.lower())]
+    if all(len(w) <= WORD + 1 for w in words):
         return words
-    return [w[i : i + WORD] for w in words for i in range(0, len(w), WORD)]
+    cuts = ([0, *range(WORD + 1, len(w), WORD), len(w)] for w in words)
+    return [w[a:b] for w, ends in zip(words, cuts) for a, b in zip(ends, ends[1:])]
 
 
 class Lattice:
-    """All segmentations of words of one length: by their end, the start and the piece number of each step (-1: no piece)."""
+    """All segmentations of parts of one length: by their end, the start and the piece number of each step (-1: no piece)."""
 
-    def __init__(self, words: list[str], number: dict[str, int]) -> None:
-        marked = [f"▁{w}" for w in words]
-        self.n, self.size = len(marked[0]), len(words)
+    def __init__(self, words: list[str], number: dict[str, int], longest: int) -> None:
+        self.n, self.size = len(words[0]), len(words)
         self.steps: list[list[tuple[int, np.ndarray]]] = [[] for _ in range(self.n + 1)]
         for j in range(1, self.n + 1):
-            for i in range(max(0, j - PIECE), j):
-                ids = np.fromiter((number.get(w[i:j], -1) for w in marked), dtype=np.int64, count=self.size)
+            for i in range(max(0, j - longest), j):
+                ids = np.fromiter((number.get(w[i:j], -1) for w in words), dtype=np.int64, count=self.size)
                 if j == i + 1:
                     ids[ids < 0] = 0  # number 0: a letter that is no piece
+                elif ids.max() < 0:
+                    continue  # no segmentation takes this step
                 self.steps[j].append((i, ids))
 
     def forward(self, probability: np.ndarray) -> np.ndarray:
@@ -106,6 +110,10 @@ def numbered(pieces: frozenset[str]) -> dict[str, int]:
     return {p: i for i, p in enumerate(sorted(pieces), 1)}
 
 
+def longest_of(pieces: Iterable[str]) -> int:
+    return max(map(len, pieces), default=1)
+
+
 class Scorer:
     """Log probability of words in all languages; words are scored once while they are remembered."""
 
@@ -113,7 +121,7 @@ class Scorer:
 
     def __init__(self, model: dict[str, dict[str, float]], pieces: frozenset[str]) -> None:
         self.languages = sorted(model)
-        self.number = numbered(pieces)
+        self.number, self.longest = numbered(pieces), longest_of(pieces)
         self.probability = np.zeros((len(self.number) + 2, len(model)))
         for k, lang in enumerate(self.languages):
             own = model[lang]
@@ -132,7 +140,7 @@ class Scorer:
         if new:
             logs = np.empty((len(new), len(self.languages)))
             for own in _by_length(new):
-                sums = Lattice([new[k] for k in own], self.number).forward(self.probability)[-1]
+                sums = Lattice([new[k] for k in own], self.number, self.longest).forward(self.probability)[-1]
                 logs[own] = np.log(np.maximum(sums, 1e-300))
             self.place.update(zip(new, range(len(self.logs), len(self.logs) + len(new))))
             self.logs = np.concatenate([self.logs, logs])
@@ -141,11 +149,13 @@ class Scorer:
 
 
 def sample_rows(docs: DataFrame, usable: Column, most: int) -> DataFrame:
-    """(lang, text) of at most `most` rows of known language: at least their share for each language, by the smallest hashed ids."""
+    """(lang, text) of the rows of at most `most` ids of known language, those of the smallest hashes: every language has its equal share, or all its ids where they are fewer."""
     rows = docs.where(usable & F.col("lang").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "lang", "text")
-    # ids first: the chosen ones are a bounded broadcast
-    chosen = rows.select(F.col("doc_id").alias("id"), F.xxhash64("doc_id").alias("h")).distinct().orderBy("h", "id").limit(most).select("id")
-    return rows.join(F.broadcast(chosen), F.col("doc_id") == F.col("id"), "left_semi").select("lang", whole_text().alias("text"))
+    # ids first: the chosen ones are a bounded broadcast; each task passes on `most` ids of a language at most
+    ids = rows.select(F.col("lang").alias("of"), F.col("doc_id").alias("id"), F.xxhash64("doc_id").alias("h")).distinct()
+    turn = F.row_number().over(Window.partitionBy("of").orderBy("h", "id"))
+    chosen = ids.withColumn("turn", turn).where(F.col("turn") <= most).orderBy("turn", "h", "of", "id").limit(most).select("of", "id")
+    return rows.join(F.broadcast(chosen), (F.col("doc_id") == F.col("id")) & (F.col("lang") == F.col("of")), "left_semi").select("lang", whole_text().alias("text"))
 
 
 def fit(docs: DataFrame, usable: Column, vocabulary_path: str, sample: int = SAMPLE, rounds: int = ROUNDS) -> dict[str, dict[str, float]]:
@@ -166,7 +176,7 @@ def fit(docs: DataFrame, usable: Column, vocabulary_path: str, sample: int = SAM
 
     def expect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = numbered(vocabulary(vocabulary_path))
-        names = [""] + list(number)
+        names, longest = [""] + list(number), longest_of(number)
         sums: dict[str, np.ndarray] = {}
         for b in batches:
             langs, words, n = np.array(b.column("lang").to_pylist(), dtype=object), b.column("word").to_pylist(), b.column("n").to_numpy()
@@ -182,7 +192,7 @@ def fit(docs: DataFrame, usable: Column, vocabulary_path: str, sample: int = SAM
                 mine = sums.setdefault(lang, np.zeros(len(names) + 1))
                 chosen = [words[k] for k in own]
                 for part in _by_length(chosen):
-                    mine += Lattice([chosen[k] for k in part], number).expected(probability, n[own[part]])
+                    mine += Lattice([chosen[k] for k in part], number, longest).expected(probability, n[own[part]])
         for lang, mine in sums.items():
             found = np.flatnonzero(mine[:-1] > 0)
             yield pa.record_batch([pa.array([lang] * len(found), pa.string()), pa.array([names[k] for k in found], pa.string()), pa.array(mine[found], pa.float64())], names=["lang", "piece", "x"])

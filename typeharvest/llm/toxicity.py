@@ -201,10 +201,11 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, sample: int = SAMPLE
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexer = Lexer(weights)
         for b in batches:
-            yield pa.record_batch([pa.array([events(t.as_py(), lexer) for t in b.column("text")], pa.list_(pa.float64())), b.column("toxic")], names=["x", "toxic"])
+            yield pa.record_batch([b.column("doc_id"), pa.array([events(t.as_py(), lexer) for t in b.column("text")], pa.list_(pa.float64())), b.column("toxic")], names=["id", "x", "toxic"])
 
-    # as many rows as the sample has at most, a few numbers each
-    seen = own.where("half = 1").select("text", "toxic").mapInArrow(measure, "x array<double>, toxic int").toArrow()
+    # one row of a few numbers for each id of the sample, however often the id is repeated
+    seen = own.where("half = 1").select(F.col("doc_id").cast("long"), "text", "toxic").mapInArrow(measure, "id long, x array<double>, toxic int")
+    seen = seen.groupBy("id", "toxic").agg(F.min("x").alias("x")).orderBy("id", "toxic").toArrow()
     x, y = np.array(seen.column("x").to_pylist(), dtype=float).reshape(seen.num_rows, -1), np.array(seen.column("toxic").to_pylist(), dtype=float)
     # the model knows how far to trust words of texts that it was not fitted on; the words may then come from both halves
     return learned(1), logistic(x, y)
