@@ -11,8 +11,8 @@ window) in place of fixed residues, since residues keep a seventh of all positio
    adjacent equal ones compared by place.
 3. Removed strings are joined to spans by document.
 
-K-grams that are very frequent (found from bucket counts) take the same steps as aggregations and joins that Spark can
-split, so no task holds a hot one; the others are sorted in shuffled partitions. Texts shuffle twice, for step 2 and for
+K-grams that are very frequent (found from bucket counts) take the same steps with each kind dealt by salt, and their
+stretches in parts, so no task holds a hot one; the others are sorted in shuffled partitions. Texts shuffle twice, for step 2 and for
 the remaining bytes; shuffle files go after each step.
 
 Null text: empty. Null ids come first. Rows that repeat id and text are one document and each gets its result; rows of one
@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import RollingHash, mix, ship, whole_text, written
+from .common import RollingHash, mix, n_partitions, ship, whole_text, written
 
 LENGTH, K = 100, 24
 #: Strings in a part of a hot K-gram's stretch.
@@ -92,6 +92,16 @@ def _sampled(texts: DataFrame, length: int) -> DataFrame:
     return texts.mapInArrow(run, "gram long, name long, doc long, start int, n int")
 
 
+def _by_kind(rows: DataFrame, keys: list[str], salts: int) -> tuple[DataFrame, DataFrame]:
+    """Rows that are not the first (by doc, start) of their keys, and the first ones. A kind of any size is dealt by salt; only the first rows of each salt are compared across salts."""
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64("doc", "start"), F.lit(salts)))
+    place = [F.col("doc"), F.col("start")]
+    dealt = written(salted.withColumn("place", F.row_number().over(W.partitionBy(*keys, "salt").orderBy(*place))), "dealt")
+    heads = dealt.where("place = 1").withColumn("place", F.row_number().over(W.partitionBy(*keys).orderBy(*place)))
+    heads = written(heads, "heads")
+    return dealt.where("place > 1").unionByName(heads.where("place > 1")), heads.where("place = 1")
+
+
 def _named(sampled: DataFrame) -> DataFrame:
     """(gram, doc, start, n, later, open, hot) of sampled positions with company: later than an equal stretch, or first of its kind beside others."""
     spark = sampled.sparkSession
@@ -109,12 +119,10 @@ def _named(sampled: DataFrame) -> DataFrame:
     cold = cold.repartition(parts, "gram").select("*", F.min("name").over(by_gram).alias("lo"), F.max("name").over(by_gram).alias("hi"), F.count("*").over(by_gram).alias("c")).where("c > 1")
     cold = cold.withColumn("rank", F.row_number().over(kind.orderBy("doc", "start")))
     cold = cold.select("gram", "doc", "start", "n", (F.col("rank") > 1).alias("later"), ((F.col("rank") == 1) & (F.col("lo") != F.col("hi"))).alias("open"), F.lit(False).alias("hot")).where("later OR open")
-    kinds = written(often.groupBy("gram", "name").agg(F.min(F.struct("doc", "start")).alias("first"), F.max("n").alias("n"), F.count("*").alias("c")), "kinds")
+    again, kinds = _by_kind(often, ["gram", "name"], parts)
     several = written(kinds.groupBy("gram").agg(F.min("name").alias("lo"), F.max("name").alias("hi")).where("lo <> hi").select(F.col("gram").alias("g")), "several")
-    repeated = kinds.where("c > 1").select(F.col("gram").alias("g"), F.col("name").alias("m"), "first")
-    later = often.join(repeated, (F.col("gram") == F.col("g")) & (F.col("name") == F.col("m"))).where("doc <> first.doc OR start <> first.start")
-    later = later.select("gram", "doc", "start", "n", F.lit(True).alias("later"), F.lit(False).alias("open"), F.lit(True).alias("hot"))
-    opened = kinds.join(several, F.col("gram") == F.col("g"), "left_semi").select("gram", "first.doc", "first.start", "n", F.lit(False).alias("later"), F.lit(True).alias("open"), F.lit(True).alias("hot"))
+    later = again.select("gram", "doc", "start", "n", F.lit(True).alias("later"), F.lit(False).alias("open"), F.lit(True).alias("hot"))
+    opened = kinds.join(several, F.col("gram") == F.col("g"), "left_semi").select("gram", "doc", "start", "n", F.lit(False).alias("later"), F.lit(True).alias("open"), F.lit(True).alias("hot"))
     return cold.unionByName(later).unionByName(opened)
 
 
@@ -166,18 +174,13 @@ def _strings(texts: DataFrame, opened: DataFrame, length: int) -> DataFrame:
 
 def _later_hot(cells: DataFrame) -> DataFrame:
     """(doc, start, n) of strings of hot K-grams that also start earlier: whole parts by their names, then single strings of parts that share a core only."""
-    kinds = cells.groupBy("gram", "core", "name").agg(F.min(F.struct("doc", "start", "names")).alias("first"), F.count("*").alias("c"))
-    kinds = written(kinds, "parts")
-    again = kinds.where("c > 1").select(F.col("gram").alias("g"), F.col("core").alias("k"), F.col("name").alias("m"), "first.doc", "first.start")
-    whole = cells.alias("x").join(again.alias("y"), (F.col("gram") == F.col("g")) & (F.col("core") == F.col("k")) & (F.col("name") == F.col("m")))
-    whole = whole.where("x.doc <> y.doc OR x.start <> y.start").select("x.doc", "x.start", "n")
+    parts = n_partitions(cells.sparkSession)
+    whole, kinds = _by_kind(cells, ["gram", "core", "name"], parts)
     shared = kinds.groupBy("gram", "core").agg(F.min("name").alias("lo"), F.max("name").alias("hi")).where("lo <> hi").select(F.col("gram").alias("g"), F.col("core").alias("k"))
     apart = kinds.join(shared, (F.col("gram") == F.col("g")) & (F.col("core") == F.col("k")), "left_semi")
-    single = written(apart.select("gram", "first.doc", "first.start", F.posexplode("first.names").alias("i", "name")).select("gram", "name", "doc", (F.col("start") + F.col("i")).alias("start")), "single-strings")
-    first = single.groupBy("gram", "name").agg(F.min(F.struct("doc", "start")).alias("first"), F.count("*").alias("c")).where("c > 1")
-    first = written(first.select(F.col("gram").alias("g"), F.col("name").alias("m"), "first"), "first-strings")
-    later = single.join(first, (F.col("gram") == F.col("g")) & (F.col("name") == F.col("m"))).where("doc <> first.doc OR start <> first.start")
-    return whole.unionByName(later.select("doc", "start", F.lit(1).alias("n")))
+    single = apart.select("gram", "doc", "start", F.posexplode("names").alias("i", "name")).select("gram", "name", "doc", (F.col("start") + F.col("i")).alias("start"))
+    later, _ = _by_kind(single, ["gram", "name"], parts)
+    return whole.select("doc", "start", "n").unionByName(later.select("doc", "start", F.lit(1).alias("n")))
 
 
 def _later_strings(strings: DataFrame, length: int) -> DataFrame:
