@@ -111,19 +111,23 @@ def _named(sampled: DataFrame) -> DataFrame:
     counts = sampled.groupBy(bucket.alias("hot_bucket")).agg(F.count("*").alias("rows"))
     # at most one bucket in HOT_TIMES: a bounded broadcast
     hot = F.broadcast(written(counts.where(F.col("rows") > max(HOT_ROWS, HOT_TIMES * total // buckets)).select("hot_bucket"), "hot-buckets"))
-    own = sampled.withColumn("bucket", bucket)
-    cold = own.join(hot, F.col("bucket") == F.col("hot_bucket"), "left_anti").drop("bucket")
-    often = own.join(hot, F.col("bucket") == F.col("hot_bucket"), "left_semi").drop("bucket")
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / TASK_ROWS))
-    by_gram, kind = W.partitionBy("gram"), W.partitionBy("gram", "name")
-    cold = cold.repartition(parts, "gram").select("*", F.min("name").over(by_gram).alias("lo"), F.max("name").over(by_gram).alias("hi"), F.count("*").over(by_gram).alias("c")).where("c > 1")
-    cold = cold.withColumn("rank", F.row_number().over(kind.orderBy("doc", "start")))
-    cold = cold.select("gram", "doc", "start", "n", (F.col("rank") > 1).alias("later"), ((F.col("rank") == 1) & (F.col("lo") != F.col("hi"))).alias("open"), F.lit(False).alias("hot")).where("later OR open")
-    again, kinds = _by_kind(often, ["gram", "name"], parts)
-    several = written(kinds.groupBy("gram").agg(F.min("name").alias("lo"), F.max("name").alias("hi")).where("lo <> hi").select(F.col("gram").alias("g")), "several")
-    later = again.select("gram", "doc", "start", "n", F.lit(True).alias("later"), F.lit(False).alias("open"), F.lit(True).alias("hot"))
-    opened = kinds.join(several, F.col("gram") == F.col("g"), "left_semi").select("gram", "doc", "start", "n", F.lit(False).alias("later"), F.lit(True).alias("open"), F.lit(True).alias("hot"))
-    return cold.unionByName(later).unionByName(opened)
+    parts = max(n_partitions(spark), math.ceil(total / TASK_ROWS))
+    # hot K-grams are dealt by salt, the others have the salt -1
+    salt = F.when(F.col("hot_bucket").isNotNull(), F.pmod(F.xxhash64("doc", "start"), F.lit(parts))).otherwise(-1).cast("int")
+    own = sampled.join(hot, bucket == F.col("hot_bucket"), "left").select("gram", "name", "doc", "start", "n", salt.alias("salt"))
+    group, kind, place = W.partitionBy("gram", "salt"), W.partitionBy("gram", "salt", "name"), [F.col("doc"), F.col("start")]
+    dealt = own.repartition(parts, "gram", "salt").select("*", F.min("name").over(group).alias("lo"), F.max("name").over(group).alias("hi"), F.count("*").over(group).alias("c"))
+    dealt = dealt.where("c > 1 OR salt >= 0").withColumn("place", F.row_number().over(kind.orderBy(*place)))
+    dealt = written(dealt.where("place > 1 OR lo <> hi OR salt >= 0").drop("lo", "hi", "c"), "dealt")
+    heads = dealt.where("place = 1 AND salt >= 0").withColumn("place", F.row_number().over(W.partitionBy("gram", "name").orderBy(*place)))
+    heads = written(heads, "heads")
+    kinds = heads.where("place = 1")
+    several = kinds.groupBy("gram").agg(F.min("name").alias("lo"), F.max("name").alias("hi")).where("lo <> hi").select(F.col("gram").alias("g"))
+    later = dealt.where("place > 1").unionByName(heads.where("place > 1"))
+    opened = dealt.where("place = 1 AND salt < 0").unionByName(kinds.join(several, F.col("gram") == F.col("g"), "left_semi"))
+    columns = ["gram", "doc", "start", "n", (F.col("salt") >= 0).alias("hot")]
+    later = later.select(*columns).withColumns({"later": F.lit(True), "open": F.lit(False)})
+    return later.unionByName(opened.select(*columns).withColumns({"later": F.lit(False), "open": F.lit(True)}))
 
 
 def _cells(data: RollingHash, start: int, n: int, length: int) -> Iterator[tuple[int, int, int, int, list[int]]]:
@@ -219,7 +223,7 @@ def _later_strings(strings: DataFrame, length: int) -> DataFrame:
 def repeated(texts: DataFrame, length: int = LENGTH) -> DataFrame:
     """(doc, start, n): runs of n strings from `start` that each also start earlier; texts: (doc, text), in the order of doc, each once."""
     ship(texts.sparkSession)
-    named = written(_named(written(_sampled(texts, length), "sampled")), "named")
+    named = _named(written(_sampled(texts, length), "sampled"))
     strings = written(_strings(texts, named.where("open").select("gram", "doc", "start", "n", "hot"), length), "strings")
     return written(named.where("later").select("doc", "start", "n").unionByName(_later_strings(strings, length)), "repeated")
 
