@@ -5,7 +5,7 @@ import os
 import pytest
 
 from typeharvest.plans import jobs
-from typeharvest.sources import folders, readers
+from typeharvest.sources import folders, readers, writers
 
 
 def _write(root, rel, text="x::Int = 1\n"):
@@ -101,3 +101,21 @@ def test_extract_job_records_lost_files(spark, tree, tmp_path, monkeypatch):
 def test_empty_root(spark, tmp_path):
     assert readers.code_files(spark, str(tmp_path)).collect() == []
     assert readers.package_dirs(spark, str(tmp_path)).collect() == []
+
+
+def test_folders_are_written_by_tasks(spark, tmp_path, monkeypatch):
+    """One file a folder, as Spark's writer lays folders out; it is only asked where tasks cannot open the store."""
+    rows = spark.createDataFrame([("a", "src", "x"), ("a", "src", "x"), ("a", "doc", "y"), ("b", "doc", "x"), (None, "src", "x")], "P string, S string, value string")
+
+    def laid(root):
+        return {(os.path.relpath(at, root), open(os.path.join(at, n)).read()) for at, _, names in os.walk(root) for n in names if n.endswith(".txt")}
+
+    own, by_spark = str(tmp_path / "own"), str(tmp_path / "spark")
+    writers.write_folders(rows, own, ["P", "S"])
+    assert not any(n.endswith(".crc") or n == "_SUCCESS" for _, _, names in os.walk(own) for n in names)
+    monkeypatch.setattr(folders, "reachable", lambda *a: False)
+    writers.write_folders(rows, by_spark, ["P", "S"])
+    assert laid(own) == laid(by_spark) and len(laid(own)) == 4
+    writers.write_folders(rows.limit(0), str(tmp_path / "none"), ["P", "S"])
+    monkeypatch.undo()
+    assert readers.package_dirs(spark, str(tmp_path / "none"), "S=src").count() == 0
