@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from golden import FLAG_COLUMNS, FLAGS
+from typeharvest.functions import lexical
 from typeharvest.functions.predicates import Predicate, PredicateRegistry
 from typeharvest.operators.analysis import analyze_annotations
 from typeharvest.operators.typevars import summarize
@@ -119,3 +120,32 @@ def test_registry_extension(spark):
     got = {r.TypeAnnotation: r.AnyUnused for r in analyze_annotations(df, registry).collect()}
     assert got == {"Int where T": True, "Ref{T} where T": False}
     assert registry.columns[-1] == "AnyUnused"
+
+
+def test_repeated_texts_are_summarised_on_their_rows(spark):
+    """No summary is shuffled, copied for salts or joined back; a text of very many rows is dealt over keys."""
+    texts = ["A{T} where T", "Int", "B{<:C}", "bad{", None] * 3 + ["Hot{T, T} where T"] * 20
+    plain = sorted(summarize(_frame(spark, texts)).collect(), key=repr)
+    for hot in (3, 100_000):
+        df = summarize(_frame(spark, texts), dedupe=True, hot=hot)
+        assert sorted(df.collect(), key=repr) == plain
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan
+
+
+def test_unread_text_is_not_worked_out(spark):
+    """Who reads flags only does not pay for the unrolled text."""
+    for dedupe in (False, True):
+        df = analyze_annotations(_frame(spark, ["A{T} where T"]), dedupe=dedupe)
+        plan = df.select("Error", "Warning", "VarCnt", "TrivConsistBounds")._jdf.queryExecution().optimizedPlan().toString()
+        assert "AS _err" in plan and "AS _un#" not in plan and "AS _r0#" not in plan
+
+
+def test_bracket_steps_agree(spark):
+    texts = ["", "A", "f(a, [b], {c{d}})", "(", ")", "(]", "a)}", "{{}", "@m{x} where {A.B<:'c', var\"x\"}", "[(1.5, \"s\")]{}()"]
+    df = spark.createDataFrame([(t,) for t in texts], "x string").withColumn("tok", lexical.snippet_tokens(F.col("x")))
+    df = df.withColumn("old", F.expr(lexical.bracketed("tok")))
+    for name, sql in lexical.bracket_steps("tok", "new"):
+        df = df.withColumn(name, F.expr(sql))
+    for r in df.collect():
+        assert r.new == (None if r.old.bad else r.old.out), r.x
