@@ -53,3 +53,11 @@ def test_a_column_named_like_a_predicate_is_replaced_in_place(spark):
         got = analyze_annotations(df, dedupe=dedupe)
         assert got.columns[:2] == ["VarCnt", "TypeAnnotation"] and got.columns.count("VarCnt") == 1
         assert sorted((r.TypeAnnotation, r.VarCnt) for r in got.collect()) == [("A{T} where T", 1), ("Int", 0)]
+
+
+def test_variables_of_one_place_come_by_their_bounds(spark):
+    # of the same name and the same way down, one in the head and one in the argument
+    df = spark.createDataFrame([("(Tuple{A where S>:Z}){T where S>:B}",)], "TypeAnnotation string")
+    for dedupe in (False, True):
+        [row] = analyze_annotations(df, dedupe=dedupe).collect()
+        assert [(v.name, v.lb, v.context) for v in row.TypeVarsSummary] == [("S", "B", ["Invar"]), ("S", "Z", ["Tuple"])]
